@@ -42,6 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fenced(c: Column) -> Column:
+    """c, which filters above it are not pushed through: else each mention of it in them would be worked out anew."""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs of characters other than SPACES; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")

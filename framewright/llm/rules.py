@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import fenced, held_out, labelled_sample
 from .divergence import base_counts
 from .logistic import fit, sigmoid
 
@@ -125,7 +125,7 @@ def model(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[Rule, float]],
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with score."""
     score = compiled(*model(docs, labels))
-    return statistics(docs).withColumn("score", score)
+    return statistics(docs).withColumn("score", fenced(score))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
