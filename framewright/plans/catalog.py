@@ -1,9 +1,203 @@
-"""Named queries over the test tables."""
+"""Named queries over the test tables, each with SQL that computes the same independently."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import codes as C
+from ..functions.ints import bit_width, deltas, prefix_sums, sum_abs, to_q15, unzigzag, zigzag
+from ..functions.status import error_name, error_table
+from ..operators import codecs
+from ..operators.frames import bin_counts, delta_long, dense_frames, frames, spikes, to_long, undelta_long
+
+THRESHOLD = 50.0
+
+#: Frame families: table, key, order, sample.
+FAMILIES = {
+    "events": ("events", "user_id", ["ts", "event_id"], "floor(value)"),
+    "events4": ("events", "user_id", ["ts", "event_id"], "floor(value * 4)"),
+    "lines": ("lineitem", "l_suppkey", ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber"], "floor(l_quantity)"),
+    "orders": ("orders", "o_custkey", ["o_orderdate", "o_orderkey"], "floor(o_totalprice)"),
+}
+
+
+def _frames(spark: SparkSession, sf_dir: str, family: str = "events") -> DataFrame:
+    if family == "vectors":
+        d = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+        return d.select(F.col("vec_id").alias("frame_id"), F.transform("embedding", lambda e: F.floor(e.cast("double") * 1000).cast("int")).alias("samples"))
+    name, key, order, value = FAMILIES[family]
+    return frames(spark.read.parquet(f"{sf_dir}/{name}.parquet"), key, order, F.expr(value))
+
+
+def _joined(c: Column | str) -> Column:
+    return F.array_join((F.col(c) if isinstance(c, str) else c).cast("array<string>"), ",")
+
+
+def _sql_frames(family: str = "events") -> str:
+    if family == "vectors":
+        return "f AS (SELECT vec_id AS frame_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1000) AS INT)) AS s FROM embeddings)"
+    name, key, order, value = FAMILIES[family]
+    return f"f AS (SELECT {key} AS frame_id, list(CAST({value} AS INT) ORDER BY {', '.join(order)}) AS s FROM {name} GROUP BY 1)"
+
+
+D = "d AS (SELECT *, list_transform(s, lambda x, i: CAST(x AS BIGINT) - CASE WHEN i = 1 THEN 0 ELSE s[i - 1] END) AS d FROM f)"
+Z = "z AS (SELECT *, list_transform(d, lambda x: CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END) AS z, CASE WHEN coalesce(list_sum(list_transform(d[1:16], lambda x: abs(x))), 0) > 48 THEN 3 ELSE 1 END AS k FROM d)"
+
+
+def _sql_hex(bits: str) -> str:
+    """Hex of a bit string whose length is a multiple of four."""
+    value = " + ".join(f"{8 >> j} * CAST(substr({bits}, CAST(4 * i + {j + 1} AS BIGINT), 1) AS INT)" for j in range(4))
+    return f"array_to_string(list_transform(range(0, CAST(length({bits}) / 4 AS BIGINT)), lambda i: substr('0123456789ABCDEF', 1 + {value}, 1)), '')"
+
+
+def _sql_padded(bits: str) -> str:
+    return f"rpad({bits}, CAST(8 * ceil(length({bits}) / 8.0) AS INT), '0')"
+
+
+def _sql_header(strategy: int, k: str = "0") -> str:
+    return f"'5048444301' || format('{{:04X}}', len(s)) || format('{{:02X}}', CAST({strategy * 4} + {k} AS BIGINT))"
+
+
+U = "u AS (SELECT *, list_transform(d, lambda x: (x + 4294967296) % 4294967296) AS u FROM d)"
+VARINT = "array_to_string(list_transform(u, lambda v: " + " || ".join(
+    f"CASE WHEN {'true' if k == 0 else f'v >= {1 << 7 * k}'} THEN format('{{:02X}}', ((v >> {7 * k}) & 127) + CASE WHEN v >= {1 << 7 * (k + 1)} THEN 128 ELSE 0 END) ELSE '' END" for k in range(5)
+) + "), '')"
+RICE_BITS = "array_to_string(list_transform(z, lambda v: repeat('0', CAST(v >> k AS BIGINT)) || '1' || right(lpad(bin(v), 40, '0'), k)), '')"
+BLOCKS = "b AS (SELECT *, list_transform(range(0, CAST(ceil(len(z) / 32.0) AS BIGINT)), lambda b: z[CAST(32 * b + 1 AS BIGINT):CAST(32 * b + 32 AS BIGINT)]) AS bl FROM z)"
+WIDTHS = "w AS (SELECT *, list_transform(bl, lambda v: CASE WHEN list_max(v) = 0 THEN 0 ELSE length(bin(list_max(v))) END) AS ws FROM b)"
+# Bits of a block, the lowest first; then each byte turned round, so that it reads from the highest.
+_block_bits = "array_to_string(list_transform(bl[i], lambda v: reverse(right(lpad(bin(v), 40, '0'), w))), '')"
+BLOCK_BITS = f"g AS (SELECT *, list_transform(ws, lambda w, i: lpad(bin(w), 8, '0') || CASE WHEN w = 0 THEN '' ELSE {_sql_padded(_block_bits)} END) AS raw FROM w)"
+TURNED = "t AS (SELECT *, array_to_string(list_transform(raw, lambda r: substr(r, 1, 8) || array_to_string(list_transform(range(1, CAST(length(r) / 8 AS BIGINT)), lambda j: reverse(substr(r, CAST(8 * j + 1 AS BIGINT), 8))), '')), '') AS bits FROM g)"
+NIBBLES = "n AS (SELECT *, list_transform(d, lambda x: greatest(-8, least(7, x >> 8)) & 15) AS nb FROM d)"
+PACKED = "array_to_string(list_transform(range(0, CAST(ceil(len(nb) / 2.0) AS BIGINT)), lambda i: format('{:02X}', CAST(nb[CAST(2 * i + 1 AS BIGINT)] + 16 * coalesce(nb[CAST(2 * i + 2 AS BIGINT)], 0) AS BIGINT))), '')"
+PACKED_D = "p AS (SELECT *, list_transform(d, lambda x: 256 * greatest(-8, least(7, x >> 8))) AS q FROM d), r AS (SELECT *, list_transform(q, lambda x, i: CAST(list_sum(q[1:i]) AS BIGINT)) AS back FROM p)"
+ORIGINAL = "SELECT frame_id, array_to_string(s, ',') AS samples, 0 AS status FROM f"
+OVER = "list_max(z) >= CASE WHEN k = 3 THEN 2048 ELSE 512 END"
+
+
+def _sizes_sql() -> str:
+    v = "list_sum(list_transform(u, lambda v: CASE WHEN v < 128 THEN 1 WHEN v < 16384 THEN 2 WHEN v < 2097152 THEN 3 WHEN v < 268435456 THEN 4 ELSE 5 END))"
+    return (
+        f"WITH {_sql_frames('events4')}, {D}, {U}, {Z.replace('FROM d)', 'FROM u)')}, {BLOCKS}, {WIDTHS}, x AS (SELECT frame_id, CAST(8 + {v} AS BIGINT) AS delta_varint, "
+        f"CASE WHEN NOT ({OVER}) THEN CAST(8 + ceil(list_sum(list_transform(z, lambda v: (v >> k) + 1 + k)) / 8.0) AS BIGINT) END AS rice, CAST(8 + ceil(len(s) / 2.0) AS BIGINT) AS packed4, "
+        "CASE WHEN list_max(z) < 32768 THEN CAST(8 + list_sum(list_transform(ws, lambda w, i: 1 + ceil(w * len(bl[i]) / 8.0))) AS BIGINT) END AS fixed_width FROM w) "
+    )
+
+
+def _hexed(df: DataFrame) -> DataFrame:
+    return df.select("frame_id", F.hex("packet").alias("packet"), "status")
+
+
+def _decoded(spark: SparkSession, sf_dir: str, family: str, strategy: str) -> DataFrame:
+    d = codecs.decode(codecs.encode(_frames(spark, sf_dir, family), strategy).select("frame_id", "packet"), "auto")
+    return d.select("frame_id", _joined("samples").alias("samples"), "status")
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rice packets, damaged in turn by frame: cut short, magic, version, strategy, not at all."""
+    d = codecs.encode(_frames(spark, sf_dir), "rice").select("frame_id", F.hex("packet").alias("h"))
+    k = F.col("frame_id") % 5
+    h = F.when(k == 0, F.substring("h", 1, 14)).when(k == 1, F.concat(F.lit("FF"), F.substring("h", 3, 1 << 30))).when(k == 2, F.concat(F.substring("h", 1, 8), F.lit("FF"), F.substring("h", 11, 1 << 30)))
+    h = h.when(k == 3, F.concat(F.substring("h", 1, 14), F.lit("FF"), F.substring("h", 17, 1 << 30))).otherwise(F.col("h"))
+    return codecs.inspect(d.select("frame_id", F.unhex(h).alias("packet"))).select("frame_id", "channel_count", "strategy_id", "rice_k", "status", error_name(F.col("status")).alias("error"))
+
+
+def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", F.col("user_id").alias("channel"), F.col("value").alias("v"))
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _hours(spark, sf_dir)
+    bins = e.select(F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("bin_start"))
+    d = dense_frames(bin_counts(spikes(e, THRESHOLD), "1 hour"), bins, e.select("channel").distinct())
+    return codecs.encode(d, "delta_varint").select(F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss").alias("bin_start"), _joined("samples").alias("samples"), F.length("packet").alias("bytes"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    f = _frames
+    round_trip = lambda s, d: undelta_long(delta_long(to_long(f(s, d, "vectors"))).select("frame_id", "idx", "delta")).select("frame_id", "idx", "sample")
+    packed = lambda s, d: codecs.decode(codecs.encode(f(s, d, "lines"), "packed4")).withColumnRenamed("samples", "decoded").join(f(s, d, "lines"), "frame_id")
+    return {
+        "delta_encode": lambda s, d: delta_long(to_long(f(s, d))),
+        "delta_reconstruct": round_trip,
+        "prefix_sums": lambda s, d: f(s, d, "lines").select("frame_id", _joined(prefix_sums(deltas(F.col("samples")))).alias("samples")),
+        "zigzag_roundtrip": lambda s, d: to_long(f(s, d, "vectors")).withColumn("z", zigzag(F.col("sample"))).withColumn("back", unzigzag(F.col("z"))),
+        "sum_abs_first16": lambda s, d: f(s, d).select("frame_id", sum_abs(deltas(F.col("samples")), 16).alias("sum_abs")),
+        "rice_k": lambda s, d: f(s, d).select("frame_id", C.rice_k(sum_abs(deltas(F.col("samples")), 16)).alias("k")),
+        "bit_width_by_block": lambda s, d: f(s, d, "lines").select("frame_id", F.posexplode(C.block_widths(F.transform(deltas(F.col("samples")), zigzag))).alias("block", "width")),
+        "bit_width": lambda s, d: f(s, d, "vectors").select("frame_id", bit_width(F.transform(deltas(F.col("samples")), zigzag)).alias("width")),
+        "q15_clamp": lambda s, d: to_long(f(s, d, "orders")).select("frame_id", "idx", to_q15(F.col("sample")).alias("q15")),
+        "header_write": lambda s, d: f(s, d).select("frame_id", C.header_hex(F.size("samples"), C.RICE, C.rice_k(sum_abs(deltas(F.col("samples")), 16))).alias("header")),
+        "header_read_status": _damaged,
+        "varint_length": lambda s, d: f(s, d).select("frame_id", F.length(codecs_payload(F.col("samples"))).alias("hex_digits")),
+        "varint_packet": lambda s, d: _hexed(codecs.encode(f(s, d), "delta_varint")),
+        "varint_decode": lambda s, d: _decoded(s, d, "events", "delta_varint"),
+        "rice_packet": lambda s, d: _hexed(codecs.encode(f(s, d), "rice")),
+        "rice_overflow_status": lambda s, d: codecs.encode(f(s, d, "events4"), "rice").select("frame_id", "status", F.length("packet").alias("bytes")),
+        "rice_decode": lambda s, d: _decoded(s, d, "lines", "rice"),
+        "packed4_packet": lambda s, d: _hexed(codecs.encode(f(s, d, "lines"), "packed4")),
+        "packed4_decode": lambda s, d: _decoded(s, d, "orders", "packed4"),
+        "packed4_error": lambda s, d: codecs.compare(packed(s, d)).select("frame_id", "max_error", "differing"),
+        "fixed_packet": lambda s, d: _hexed(codecs.encode(f(s, d, "vectors"), "fixed_width")),
+        "fixed_status": lambda s, d: codecs.encode(f(s, d, "orders"), "fixed_width").select("frame_id", "status"),
+        "fixed_decode": lambda s, d: _decoded(s, d, "lines", "fixed_width"),
+        "strategy_sizes": lambda s, d: codecs.sizes(f(s, d, "events4")).select("frame_id", "delta_varint", "rice", "packed4", "fixed_width"),
+        "best_strategy": lambda s, d: codecs.best_strategy(f(s, d, "events4")).select("frame_id", "best", "best_bytes"),
+        "spike_bins": lambda s, d: bin_counts(spikes(_hours(s, d), THRESHOLD), "1 hour").select(F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss").alias("bin_start"), "channel", "n"),
+        "dense_spike_frames": _dense,
+        "error_codes": lambda s, d: error_table(s),
+    }
+
+
+def codecs_payload(samples: Column) -> Column:
+    return C.varint_payload(deltas(samples))
+
+
+def oracle_sql() -> dict[str, str]:
+    e, v, ln, o, e4 = (_sql_frames(x) for x in ("events", "vectors", "lines", "orders", "events4"))
+    unnested = "SELECT frame_id, CAST(i - 1 AS INT) AS idx, {} FROM {}, range(1, len(s) + 1) AS r(i)"
+    long_ = "SELECT frame_id, unnest(range(0, len(s))) AS i, * EXCLUDE (frame_id) FROM "
+    at = lambda a: f"{a}[CAST(i + 1 AS BIGINT)]"
+    rice = f"CASE WHEN NOT ({OVER}) THEN {_sql_header(1, 'k')} || {_sql_hex('bits')} END"
+    status = "CASE frame_id % 5 WHEN 0 THEN -6 WHEN 1 THEN -3 WHEN 2 THEN -4 WHEN 3 THEN -5 ELSE 0 END"
+    hour = "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')"
+    names = ["BufferTooSmall", "InvalidChannelCount", "CorruptedHeader", "UnsupportedVersion", "InvalidStrategy", "UnexpectedEndOfInput", "InvalidZigZagValue", "InvalidRiceParameter", "BitPositionOverflow", "RiceQuotientOverflow"]
+    sizes = _sizes_sql()
+    del unnested
+    return {
+        "delta_encode": f"WITH {e}, {D} SELECT frame_id, CAST(i AS INT) AS idx, {at('s')} AS sample, CAST({at('d')} AS INT) AS delta FROM ({long_} d)",
+        "delta_reconstruct": f"WITH {v} SELECT frame_id, CAST(i AS INT) AS idx, {at('s')} AS sample FROM ({long_} f)",
+        "prefix_sums": f"WITH {ln} SELECT frame_id, array_to_string(s, ',') AS samples FROM f",
+        "zigzag_roundtrip": f"WITH {v} SELECT frame_id, CAST(i AS INT) AS idx, {at('s')} AS sample, CAST(CASE WHEN {at('s')} >= 0 THEN 2 * {at('s')} ELSE -2 * {at('s')} - 1 END AS BIGINT) AS z, {at('s')} AS back FROM ({long_} f)",
+        "sum_abs_first16": f"WITH {e}, {D} SELECT frame_id, CAST(list_sum(list_transform(d[1:16], lambda x: abs(x))) AS BIGINT) AS sum_abs FROM d",
+        "rice_k": f"WITH {e}, {D}, {Z} SELECT frame_id, CAST(k AS INT) AS k FROM z",
+        "bit_width_by_block": f"WITH {ln}, {D}, {Z}, {BLOCKS}, {WIDTHS} SELECT frame_id, CAST(j AS INT) AS block, CAST(ws[CAST(j + 1 AS BIGINT)] AS INT) AS width FROM (SELECT frame_id, ws, unnest(range(0, len(ws))) AS j FROM w)",
+        "bit_width": f"WITH {v}, {D}, {Z} SELECT frame_id, CAST(CASE WHEN list_max(z) = 0 THEN 0 ELSE length(bin(list_max(z))) END AS INT) AS width FROM z",
+        "q15_clamp": f"WITH {o} SELECT frame_id, CAST(i AS INT) AS idx, CAST(greatest(-32768, least(32767, {at('s')})) AS INT) AS q15 FROM ({long_} f)",
+        "header_write": f"WITH {e}, {D}, {Z} SELECT frame_id, {_sql_header(1, 'k')} AS header FROM z",
+        "header_read_status": f"WITH {e}, {D}, {Z}, x AS (SELECT *, {status} AS status FROM z) SELECT frame_id, CASE WHEN status = 0 THEN CAST(len(s) AS INT) END AS channel_count, CASE WHEN status = 0 THEN 1 END AS strategy_id, "
+        "CASE WHEN status = 0 THEN CAST(k AS INT) END AS rice_k, CAST(status AS INT) AS status, CASE status WHEN -6 THEN 'UnexpectedEndOfInput' WHEN -3 THEN 'CorruptedHeader' WHEN -4 THEN 'UnsupportedVersion' WHEN -5 THEN 'InvalidStrategy' END AS error FROM x",
+        "varint_length": f"WITH {e}, {D}, {U} SELECT frame_id, CAST(length({VARINT}) AS INT) AS hex_digits FROM u",
+        "varint_packet": f"WITH {e}, {D}, {U} SELECT frame_id, {_sql_header(0)} || {VARINT} AS packet, 0 AS status FROM u",
+        "varint_decode": f"WITH {e} {ORIGINAL}",
+        "rice_packet": f"WITH {e}, {D}, {Z}, y AS (SELECT *, {RICE_BITS} AS raw FROM z), x AS (SELECT *, {_sql_padded('raw')} AS bits FROM y) SELECT frame_id, {rice} AS packet, CASE WHEN {OVER} THEN -10 ELSE 0 END AS status FROM x",
+        "rice_overflow_status": f"WITH {e4}, {D}, {Z} SELECT frame_id, CASE WHEN {OVER} THEN -10 ELSE 0 END AS status, CASE WHEN NOT ({OVER}) THEN CAST(8 + ceil(list_sum(list_transform(z, lambda v: (v >> k) + 1 + k)) / 8.0) AS INT) END AS bytes FROM z",
+        "rice_decode": f"WITH {ln} {ORIGINAL}",
+        "packed4_packet": f"WITH {ln}, {D}, {NIBBLES} SELECT frame_id, {_sql_header(2)} || {PACKED} AS packet, 0 AS status FROM n",
+        "packed4_decode": f"WITH {o}, {D}, {PACKED_D} SELECT frame_id, array_to_string(back, ',') AS samples, 0 AS status FROM r",
+        "packed4_error": f"WITH {ln}, {D}, {PACKED_D}, x AS (SELECT frame_id, list_transform(back, lambda b, i: abs(b - s[i])) AS err FROM r) SELECT frame_id, CAST(list_max(err) AS BIGINT) AS max_error, CAST(len(list_filter(err, lambda a: a <> 0)) AS INT) AS differing FROM x",
+        "fixed_packet": f"WITH {v}, {D}, {Z}, {BLOCKS}, {WIDTHS}, {BLOCK_BITS}, {TURNED} SELECT frame_id, {_sql_header(3)} || {_sql_hex('bits')} AS packet, 0 AS status FROM t",
+        "fixed_status": f"WITH {o}, {D}, {Z} SELECT frame_id, CASE WHEN list_max(z) >= 32768 THEN -1000 ELSE 0 END AS status FROM z",
+        "fixed_decode": f"WITH {ln} {ORIGINAL}",
+        "strategy_sizes": sizes + "SELECT * FROM x",
+        "best_strategy": sizes + "SELECT frame_id, CASE WHEN least(delta_varint, coalesce(rice, delta_varint), coalesce(fixed_width, delta_varint)) = delta_varint THEN 'delta_varint' WHEN coalesce(rice, 1000000000) <= coalesce(fixed_width, 1000000000) THEN 'rice' ELSE 'fixed_width' END AS best, "
+        "least(delta_varint, coalesce(rice, delta_varint), coalesce(fixed_width, delta_varint)) AS best_bytes FROM x",
+        "spike_bins": f"SELECT {hour} AS bin_start, user_id AS channel, CAST(count(*) AS INT) AS n FROM events WHERE value > {THRESHOLD} GROUP BY 1, 2",
+        "dense_spike_frames": f"WITH b AS (SELECT DISTINCT {hour} AS bin_start FROM events), c AS (SELECT DISTINCT user_id AS ch FROM events), n AS (SELECT {hour} AS bin_start, user_id AS ch, count(*) AS n FROM events WHERE value > {THRESHOLD} GROUP BY 1, 2), "
+        f"f AS (SELECT b.bin_start AS frame_id, list(CAST(coalesce(n.n, 0) AS INT) ORDER BY c.ch) AS s FROM b CROSS JOIN c LEFT JOIN n ON n.bin_start = b.bin_start AND n.ch = c.ch GROUP BY 1), {D}, {U} SELECT frame_id AS bin_start, array_to_string(s, ',') AS samples, CAST(8 + length({VARINT}) / 2 AS INT) AS bytes FROM u",
+        "error_codes": "SELECT CAST(-i AS INT) AS code, (" + repr(names).replace('"', "'") + ")[i] AS name FROM range(1, 11) AS r(i)",
+    }
