@@ -37,6 +37,8 @@ CELLS = 1 << 18
 #: Rows of the table of random numbers for consistent sampling; a shingle uses the row that its hash names.
 RANDOM_ROWS = 1 << 15
 PIVOTS = 2
+#: Rounds in which close misses meet another node of each bucket.
+MEETINGS = 3
 #: Comparisons with one pivot that share a copy of its text.
 SALT = 256
 MOST_WORDS = 500_000
@@ -238,6 +240,19 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     comp = components(links)
     labelled = lambda d: d.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     close = F.abs(F.col("sim") - F.col("sim2")) <= 1 - SIMILAR + 1e-9
+    # Before the rest is compared in full: nodes that missed a pivot closely meet other nodes of its bucket, one of each
+    # bucket they share. A large group whose texts are just about similar falls together here, without its pairs.
+    merged = lambda found: components(stored(comp.filter("nid <> comp").select(F.col("nid").alias("a"), F.col("comp").alias("b")).union(found), "near-all"))
+    for k in range(MEETINGS):
+        asked = []
+        for met in left:
+            missed = labelled(met.filter((F.col("sim") < SIMILAR) & (F.col("sim") >= 2 * SIMILAR - 1 - 1e-9)))
+            hosts = labelled(met.filter(F.col("sim") >= SIMILAR)).groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("nid", "band", F.lit(k)), "nid", "comp")).alias("host"))
+            asked.append(missed.join(hosts, ["band", "key"]).filter(F.col("comp") != F.col("host.comp")).select(F.col("nid").alias("a"), F.col("host.nid").alias("pivot")))
+        pairs = stored(functools.reduce(DataFrame.union, asked).distinct(), "near-meetings")
+        if pairs.isEmpty():
+            break
+        comp = merged(verified(pairs, texts, idf).filter(F.col("sim") >= SIMILAR).select("a", F.col("pivot").alias("b")))
     more = []
     for k, met in enumerate(left):
         missed = labelled(met.filter((F.col("sim") < SIMILAR) & (F.col("sim") >= 2 * SIMILAR - 1 - 1e-9)))
@@ -251,7 +266,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = stored(rest, "near-rest")
     if not rest.isEmpty():
         found = verified(rest, texts, idf).filter(F.col("sim") >= SIMILAR).select("a", F.col("pivot").alias("b"))
-        comp = components(stored(comp.filter("nid <> comp").select(F.col("nid").alias("a"), F.col("comp").alias("b")).union(found), "near-all"))
+        comp = merged(found)
     nodes = nodes.select("nid", "h", "rep").join(comp, "nid", "left").select("h", "rep", F.coalesce("comp", "nid").alias("comp"))
     return rows.select("doc_id", "h"), stored(nodes, "near-classes")
 
