@@ -92,7 +92,7 @@ def mixed(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFra
     base = placed.groupBy("src", "bucket").agg(F.sum("size").alias("_sum"))
     base = base.withColumn("_base", F.sum("_sum").over(Window.partitionBy("src").orderBy("bucket")) - F.col("_sum")).drop("_sum")
 
-    blocks = placed.filter("size > 0").join(base, ["src", "bucket"]).select("src", "bucket", "rn", (F.col("_base") + F.col("_end") - F.col("size")).alias("_a"), (F.col("_base") + F.col("_end")).alias("_b"))
+    blocks = placed.filter("size > 0").hint("merge").join(base, ["src", "bucket"]).select("src", "bucket", "rn", (F.col("_base") + F.col("_end") - F.col("size")).alias("_a"), (F.col("_base") + F.col("_end")).alias("_b"))
     blocks = blocks.select("*", F.explode(F.sequence(F.floor(F.col("_a") / BLOCK), F.floor((F.col("_b") - 1) / BLOCK))).alias("block"))
 
     # Slots: passes * blocks for the whole passes, then enough for the rest; all but the last block hold BLOCK words.
@@ -108,7 +108,8 @@ def mixed(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFra
     slots = slots.withColumn("_take", F.when(F.col("pass") < F.col("_passes"), F.lit(BLOCK)).otherwise(F.least(F.lit(BLOCK), F.col("_rest") - F.col("_j") * BLOCK)))
     slots = permute(slots, "shard", F.col("_first") + F.col("_k"), F.col("_all"), F.lit(-1)).withColumn("shard", F.floor(F.col("shard") / SHARD))
 
-    pieces = blocks.join(slots.select("src", "block", "pass", "shard", "_take"), ["src", "block"])
+    # Both sides grow with the data once exploded, which the planner can't see from the sizes before: no broadcast.
+    pieces = blocks.hint("merge").join(slots.select("src", "block", "pass", "shard", "_take").hint("merge"), ["src", "block"])
     start = F.col("block") * BLOCK
     pieces = pieces.withColumns({"from": F.greatest(F.col("_a"), start) - F.col("_a"), "to": F.least(F.col("_b"), start + F.col("_take")) - F.col("_a")})
     return placed, pieces.filter("to > from").select("src", "bucket", "rn", "pass", "shard", "from", "to")
