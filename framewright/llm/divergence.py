@@ -101,12 +101,14 @@ def divergence(docs: DataFrame, min_words: int = 30, most_chars: float = 0.25, m
         return d.withColumns({"char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
     p = [F.col(f"_c_{k}") / F.greatest(F.col("_c_all"), F.lit(1)) for k in [*CLASSES, "rest"]]
     chars = F.least(*[F.sqrt(F.greatest(F.lit(0.0), sum(_term(a, F.lit(b)) for a, b in zip(p, q, strict=True)))) for q in classes.values()], F.lit(1.0))
-    # Positions of the common words (0: none), sorted, and from their runs (position, count): no pass for each word.
+    # Common words of the text, sorted, and from their runs (position among all common words, share): each word is
+    # looked up once in a set, and only distinct ones in the list.
     d = d.withColumn("_a", _letters_only(F.col("text"))).withColumn("_n", F.size("_a"))
     at = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
-    d = d.withColumn("_i", F.sort_array(F.filter(F.transform("_a", lambda w: F.array_position(at, w).cast("int")), lambda x: x > 0)))
+    d = d.withColumn("_i", F.sort_array(F.filter("_a", lambda w: w.isin(common))))
     d = d.withColumn("_e", F.expr("filter(transform(_i, (x, j) -> if(x <=> get(_i, j + 1), -1, j)), j -> j >= 0)"))
-    d = d.withColumn("_r", F.expr("transform(_e, (e, j) -> struct(_i[e] as k, (e - coalesce(get(_e, j - 1), -1)) / cast(_n as double) as p))").cast("array<struct<k:int,p:double>>"))
+    d = d.withColumn("_r", F.expr("transform(_e, (e, j) -> struct(_i[e] as w, (e - coalesce(get(_e, j - 1), -1)) / cast(_n as double) as p))").cast("array<struct<w:string,p:double>>"))
+    d = d.withColumn("_r", F.transform("_r", lambda r: F.struct(F.array_position(at, r["w"]).cast("int").alias("k"), r["p"].alias("p"))))
     word = []
     for q in shares.values():
         ref = F.array(*[F.lit(float(q[w])) for w in common])
