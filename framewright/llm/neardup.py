@@ -42,6 +42,9 @@ MEETINGS = 3
 #: Comparisons with one pivot that share a copy of its text.
 SALT = 256
 MOST_WORDS = 500_000
+#: Share of all documents up to which a shingle counts as rare; all rare ones have the same inverse frequency, so that
+#: only common passages weigh less, and copies in a large group are not set apart by the few words in which they differ.
+RARE = 0.05
 
 U = np.uint64
 
@@ -127,8 +130,13 @@ def band_keys(hashes: np.ndarray, w: np.ndarray) -> list[int]:
     return key.astype(np.int64).tolist()
 
 
+def idf_of(n: int, df: np.ndarray) -> np.ndarray:
+    """log(1 + n / (1 + df)), and no more than for a share of RARE."""
+    return np.minimum(np.log1p(n / (1 + df)), np.log1p(1 / RARE)).astype(np.float32)
+
+
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """log(1 + n / (1 + documents of the cell)) for each cell of the sketch, over all documents. CELLS rows at most
+    """idf_of() for each cell of the sketch, over all documents. CELLS rows at most
     reach the driver. Rare shingles share cells with others, alike at any size of input; common ones stand out."""
 
     def run(batches):
@@ -146,7 +154,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     total = int(n[cell < 0].sum())
     df = np.zeros(CELLS)
     df[cell[cell >= 0]] = n[cell >= 0]
-    return np.log1p(total / (1 + df)).astype(np.float32)
+    return idf_of(total, df)
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:

@@ -275,7 +275,7 @@ def brute_classes(rows):
     df = np.zeros(N.CELLS)
     for h, _ in sh:
         df[np.unique(h & np.uint64(N.CELLS - 1)).astype(np.int64)] += 1
-    idf = np.log1p(len(rows) / (1 + df)).astype(np.float32)
+    idf = N.idf_of(len(rows), df)
     v = [(h, N.weights(n, h, idf).astype(float)) for h, n in sh]
     label = list(range(len(rows)))
     for i in range(len(rows)):
