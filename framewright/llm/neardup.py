@@ -9,8 +9,9 @@ Nodes with a key in common are candidates. Comparing each with one pivot of its
 not all pairs. By the triangle inequality of the weighted Jaccard distance, two nodes of a bucket can only be similar
 if their distances to the pivot differ by 0.2 at most; so what a pivot leaves open is: nodes that missed it by no
 more than that against nodes that met it, and the nodes that missed it among themselves, which get a pivot of their
-own, and so on; after PIVOTS rounds the few left are compared in full. Pairs whose nodes are connected already are
-skipped. Similarities are exact, from whole texts. Classes are connected components of the links.
+own, and so on; after PIVOTS rounds what is left is compared in full, save pairs that cannot be similar: shingles
+that no other text left has are out of any overlap, and by residues of hashes the lesser weight bounds the rest.
+Pairs whose nodes are connected already are skipped. Similarities are exact, from whole texts. Classes are connected components of the links.
 
 Defined cases: documents without words (null, empty or blank texts) are each a class of their own; rows with equal
 texts are one class whatever their ids; a class is named by its smallest id; null ids never name one unless all ids
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, stored, workers_find_package
@@ -42,6 +43,8 @@ MEETINGS = 3
 #: Comparisons with one pivot that share a copy of its text.
 SALT = 256
 MOST_WORDS = 500_000
+#: Residues of hashes by which the weight that texts can share is bounded.
+PARTS = 64
 #: Share of all documents up to which a shingle counts as rare; all rare ones have the same inverse frequency, so that
 #: only common passages weigh less, and copies in a large group are not set apart by the few words in which they differ.
 RARE = 0.05
@@ -198,6 +201,46 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return stored(rows.select("pivot", "a", "text").mapInArrow(run, "a long, pivot long, sim double"), "near-verified")
 
 
+def _near_miss() -> Column:
+    """Of a row of a meeting: the node missed the pivot, but by no more than what the triangle inequality leaves open."""
+    return (F.col("sim") < SIMILAR) & (F.col("sim") >= 2 * SIMILAR - 1 - 1e-9)
+
+
+def _open(k: int) -> Column:
+    """Of a row of the meetings with pivot k: whether it may need a comparison besides those with pivots."""
+    return F.col("sim") < SIMILAR if k == PIVOTS - 1 else _near_miss()
+
+
+def shareable(texts: DataFrame, idf) -> DataFrame:
+    """nid, total (weight of all its shingles), shared (of those that another text of `texts` has as well) and parts
+    (shared, by PARTS residues of the shingles' hashes). Two texts have no more weight in common than the lesser
+    shared, nor more than the sum of the lesser parts. Counting is by partial sums; no join on shingles."""
+
+    def run(batches):
+        for b in batches:
+            for nid, text in zip(*(b.column(k).to_pylist() for k in ("nid", "text")), strict=True):
+                h, n = shingles(text)
+                w = weights(n, h, idf.value).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), nid)), pa.array(h.astype(np.int64)), pa.array(w)], names=["nid", "h", "w"])
+
+    rows = texts.select("nid", "text").mapInArrow(run, "nid long, h long, w double")
+    part = F.pmod("h", F.lit(PARTS)).cast("int").alias("part")
+    own = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"), F.min("w").alias("w")).filter("n = 1")
+    each = rows.select("nid", part, F.col("w").alias("all"), F.col("w").alias("common"))
+    each = each.unionByName(own.select("nid", part, F.lit(0.0).alias("all"), (-F.col("w")).alias("common")))
+    each = each.groupBy("nid", "part").agg(F.sum("all").alias("all"), F.sum("common").alias("common"))
+    by_node = each.groupBy("nid").agg(F.sum("all").alias("total"), F.sum("common").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "common"))).alias("_m"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
+    return by_node.select("nid", "total", "shared", parts.alias("parts"))
+
+
+def _may_be_similar() -> Column:
+    """Of two rows of shareable(): whether their bounds leave a similarity of SIMILAR open. The cheap bound comes first."""
+    least = (F.col("total") + F.col("total2")) * (SIMILAR / (1 + SIMILAR)) - 1e-6
+    common = F.aggregate(F.zip_with("parts", "parts2", lambda a, b: F.least(a, b)), F.lit(0.0), lambda a, x: a + x)
+    return (F.least("shared", "shared2") >= least) & (common >= least)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(nid, comp) of every node that has a link: the smallest node that it is connected to. Labels go to neighbours
     and are then followed to their own labels, until nothing changes; each round is written, so lineage stays short."""
@@ -254,7 +297,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for k in range(MEETINGS):
         asked = []
         for met in left:
-            missed = labelled(met.filter((F.col("sim") < SIMILAR) & (F.col("sim") >= 2 * SIMILAR - 1 - 1e-9)))
+            missed = labelled(met.filter(_near_miss()))
             hosts = labelled(met.filter(F.col("sim") >= SIMILAR)).groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("nid", "band", F.lit(k)), "nid", "comp")).alias("host"))
             asked.append(missed.join(hosts, ["band", "key"]).filter(F.col("comp") != F.col("host.comp")).select(F.col("nid").alias("a"), F.col("host.nid").alias("pivot")))
         pairs = stored(functools.reduce(DataFrame.union, asked).distinct(), "near-meetings")
@@ -262,14 +305,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         comp = merged(verified(pairs, texts, idf).filter(F.col("sim") >= SIMILAR).select("a", F.col("pivot").alias("b")))
     more = []
+    asked = functools.reduce(DataFrame.union, [m.filter(_open(k)).select("band", "key") for k, m in enumerate(left)]).distinct()
+    open_ids = functools.reduce(DataFrame.union, [m.select("band", "key", "nid") for m in left]).join(asked, ["band", "key"], "left_semi").select("nid").distinct()
+    bound = stored(shareable(texts.join(open_ids, "nid"), idf), "near-bounds")
     for k, met in enumerate(left):
-        missed = labelled(met.filter((F.col("sim") < SIMILAR) & (F.col("sim") >= 2 * SIMILAR - 1 - 1e-9)))
-        others = labelled(met.filter(F.col("sim") >= SIMILAR)).select("band", "key", F.col("nid").alias("nid2"), F.col("sim").alias("sim2"), F.col("comp").alias("comp2"))
-        more.append(missed.join(others, ["band", "key"]).filter(close & (F.col("comp") != F.col("comp2"))).select("nid", "nid2"))
+        known = labelled(met).join(bound, "nid")
+        others = known.select("band", "key", *[F.col(c).alias(f"{c}2") for c in ("nid", "sim", "comp", "total", "shared", "parts")])
+        pair = close & (F.col("comp") != F.col("comp2")) & _may_be_similar()
+        met_pivot = others.filter(F.col("sim2") >= SIMILAR)
+        more.append(known.filter(_near_miss()).join(met_pivot, ["band", "key"]).filter(pair).select("nid", "nid2"))
         if k == PIVOTS - 1:  # what the last pivots leave
-            missed = labelled(met.filter(F.col("sim") < SIMILAR))
-            others = missed.select("band", "key", F.col("nid").alias("nid2"), F.col("sim").alias("sim2"), F.col("comp").alias("comp2"))
-            more.append(missed.join(others, ["band", "key"]).filter(close & (F.col("comp") != F.col("comp2")) & (F.col("nid") > F.col("nid2"))).select("nid", "nid2"))
+            missed = others.filter(F.col("sim2") < SIMILAR)
+            more.append(known.filter(F.col("sim") < SIMILAR).join(missed, ["band", "key"]).filter(pair & (F.col("nid") > F.col("nid2"))).select("nid", "nid2"))
     rest = functools.reduce(DataFrame.union, more).distinct().select(F.col("nid").alias("a"), F.col("nid2").alias("pivot"))
     rest = stored(rest, "near-rest")
     if not rest.isEmpty():
