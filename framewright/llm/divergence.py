@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import stored, words
 
 #: Character classes by regular expression; characters of none form one more class.
 CLASSES = {"small": "[a-zß-ÿ]", "large": "[A-ZÀ-Þ]", "other_letter": "[\\p{L}&&[^a-zA-ZÀ-ÿ]]", "digit": "[0-9]", "space": "[ \\t-\\r]", "stop": "[.,;:?'\"()-]"}
@@ -52,9 +52,16 @@ def _letters_only(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}]+"), lambda w: w != "")
 
 
-def _class_counts(text: Column) -> dict[str, Column]:
-    t = F.coalesce(text, F.lit(""))
-    return {f"_c_{k}": F.length(F.regexp_replace(t, f"[^{v}]+" if not v.startswith("[\\p") else "[^\\p{L}]+|[a-zA-ZÀ-ÿ]+", "")) for k, v in CLASSES.items()} | {"_c_all": F.length(t)}
+def with_class_counts(docs: DataFrame) -> DataFrame:
+    """docs with _c_all (characters of the text) and _c_ and the name of each class. Most characters are small letters
+    and spaces: they are taken out first, and the other classes are counted in what is left."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    without = lambda c, k: F.regexp_replace(c, f"{CLASSES[k]}+", "")
+    d = docs.withColumn("_c_all", F.length(t)).withColumn("_t1", without(t, "small")).withColumn("_t2", without(F.col("_t1"), "space"))
+    only = lambda k: "[^\\p{L}]+|[a-zA-ZÀ-ÿ]+" if k == "other_letter" else f"[^{CLASSES[k]}]+"
+    counts = {"_c_small": F.col("_c_all") - F.length("_t1"), "_c_space": F.length("_t1") - F.length("_t2")}
+    counts |= {f"_c_{k}": F.length(F.regexp_replace("_t2", only(k), "")) for k in CLASSES if k not in ("small", "space")}
+    return d.withColumns(counts).drop("_t1", "_t2")
 
 
 def references(docs: DataFrame, common_share: float, least_share: float) -> tuple[list[str], dict, dict]:
@@ -63,7 +70,7 @@ def references(docs: DataFrame, common_share: float, least_share: float) -> tupl
     Bounded: a language counts if it has least_share of all words, so there are at most 1 / least_share of them,
     each with at most 1 / common_share common words.
     """
-    counts = docs.select("lang", F.explode(_letters_only(F.col("text"))).alias("w")).groupBy("lang", "w").count()
+    counts = stored(docs.select("lang", F.explode(_letters_only(F.col("text"))).alias("w")).groupBy("lang", "w").count(), "divergence-words")
     totals = counts.groupBy("lang").agg(F.sum("count").alias("n"))
     totals = {r.lang: r.n for r in totals.crossJoin(totals.agg(F.sum("n").alias("all"))).filter(F.col("n") >= least_share * F.col("all")).select("lang", "n").collect()}
     if not totals:
@@ -74,7 +81,7 @@ def references(docs: DataFrame, common_share: float, least_share: float) -> tupl
     shares = {k: dict.fromkeys(common, 0.0) for k in totals}
     for r in counts.filter(F.col("w").isin(common)).filter(limit.isNotNull()).collect():
         shares[r.lang][r.w] = r["count"] / totals[r.lang]
-    sums = docs.select("lang", *[c.alias(k) for k, c in _class_counts(F.col("text")).items()]).groupBy("lang").agg(*[F.sum(f"_c_{k}").alias(k) for k in [*CLASSES, "all"]])
+    sums = with_class_counts(docs.select("lang", "text")).groupBy("lang").agg(*[F.sum(f"_c_{k}").alias(k) for k in [*CLASSES, "all"]])
     classes = {r.lang: [r[k] / max(1, r["all"]) for k in CLASSES] for r in sums.filter(limit.isNotNull()).collect()}
     return common, {k: [*v, max(0.0, 1 - sum(v))] for k, v in classes.items()}, shares
 
@@ -93,7 +100,7 @@ def _add_term(ref: Column):
 def divergence(docs: DataFrame, min_words: int = 30, most_chars: float = 0.25, most_words: float = 0.5, common_share: float = 0.005, least_share: float = 0.01) -> DataFrame:
     """docs with the base counts, base_failed, char_distance and word_distance (null under min_words), and kept."""
     common, classes, shares = references(docs, common_share, least_share)
-    d = base_counts(docs).withColumns(_class_counts(F.col("text")))
+    d = with_class_counts(base_counts(docs))
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     d = d.withColumn("_c_rest", F.col("_c_all") - sum(F.col(f"_c_{k}") for k in CLASSES))
     judged = F.col("n_words") >= min_words
