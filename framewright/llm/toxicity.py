@@ -12,7 +12,7 @@ ids labelled twice count once, with the larger label; an empty table gives an em
 
 from __future__ import annotations
 
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out, labelled_sample, workers_find_package
-from .logistic import fit, sigmoid
+from .logistic import fit, gram, sigmoid
 
 #: Labelled documents of each label value to learn from, at most.
 PER_CLASS = 2500
@@ -51,47 +51,48 @@ def features_of(word: bytes) -> list[bytes]:
     return [b"=" + word, *(word[:n] for n in BEGINNINGS if len(word) > n)]
 
 
-def _all(words: set[bytes]) -> set[bytes]:
-    return {f for w in words for f in features_of(w)}
-
-
 def learn(rows: list[tuple[str | None, int, int]], l1: float = 2e-4, pull: float = 1.0) -> tuple[dict[bytes, float], float]:
-    """(weights of features, bias) from (text, label, documents with that label)."""
+    """(weights of features, bias) from (text, label, documents with that label). Features are numbered, and a
+    document is an array of numbers, so that the driver holds little besides one matrix."""
     y = np.array([r[1] for r in rows], float)
     if len(set(y.tolist())) < 2:
         return {}, -40.0
-    words = [words_of(r[0]) for r in rows]
-    seen = [_all(w) for w in words]
-    count = [Counter(), Counter()]
+    number: dict[bytes, int] = {}
+    known: dict[bytes, tuple[int, ...]] = {}
+
+    def numbers(words: set[bytes], new: bool) -> np.ndarray:
+        """Sorted numbers of the features of words; of those that have one already unless new."""
+        for w in (w for w in words if new and w not in known):
+            known[w] = tuple(number.setdefault(f, len(number)) for f in features_of(w))
+        found = (known.get(w) or [number[f] for f in features_of(w) if f in number] for w in words)
+        return np.unique(np.fromiter(chain.from_iterable(found), np.int32))
+
+    seen = [numbers(words_of(r[0]), True) for r in rows]
+    names, count = list(number), np.zeros((2, len(number)))
     for s, label in zip(seen, y, strict=True):
-        count[int(label)].update(s)
+        count[int(label), s] += 1
     n = [float((y == k).sum()) for k in (0, 1)]
-    strength = {}
-    for f in count[0].keys() | count[1].keys():
-        a, b = count[0][f], count[1][f]
-        if a + b < 3 and f[1:] not in SWAP:
-            continue
-        p, q, mean = a / n[0], b / n[1], (a + b) / (n[0] + n[1])
-        strength[f] = abs(p - q) / np.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    kept = sorted(strength, key=lambda f: (f[1:] not in SWAP, -strength[f], f))[:MOST_FEATURES]
-    at = {f: i for i, f in enumerate(kept)}
+    mean = count.sum(0) / (n[0] + n[1])
+    strength = np.abs(count[0] / n[0] - count[1] / n[1]) / np.sqrt(mean * (1 - mean) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    often = count.sum(0) >= 3
+    usable = [i for i, f in enumerate(names) if often[i] or f[1:] in SWAP]
+    kept = sorted(usable, key=lambda i: (names[i][1:] not in SWAP, -strength[i], names[i]))[:MOST_FEATURES]
+    column = np.full(len(names), -1)
+    column[kept] = np.arange(len(kept))
+    columns = lambda s: (at := column[s])[at >= 0]
     x = np.zeros((len(rows), len(kept)), np.float32)
-    for i, s in enumerate(seen):
-        x[i, [at[f] for f in s if f in at]] = 1
     pairs = []
-    for w in words:
-        if named := w & SWAP.keys():
-            d = np.zeros(len(kept), np.float32)
-            for f in _all(w):
-                if f in at:
-                    d[at[f]] += 1
-            for f in _all({SWAP[t] if t in named else t for t in w}):
-                if f in at:
-                    d[at[f]] -= 1
-            pairs.append(d)
+    for i, s in enumerate(seen):
+        x[i, columns(s)] = 1
+        words = words_of(rows[i][0])
+        if named := words & SWAP.keys():
+            d = x[i].copy()
+            d[columns(numbers({SWAP[t] if t in named else t for t in words}, False))] -= 1
+            at = np.flatnonzero(d)
+            pairs.append((at, d[at]))
     share = np.array([r[2] / n[int(r[1])] for r in rows])
-    w, bias = fit(x, y, share, l1, np.array(pairs) if pairs else None, pull)
-    return {f: float(v) for f, v in zip(kept, w, strict=True) if v}, bias
+    w, bias = fit(x, y, share, l1, gram(pairs, len(kept)) if pairs else None, pull)
+    return {names[i]: float(v) for i, v in zip(kept, w, strict=True) if v}, bias
 
 
 def scored(docs: DataFrame, weights: dict[bytes, float], bias: float) -> DataFrame:
