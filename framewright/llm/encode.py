@@ -68,7 +68,7 @@ class ChunkEncoder:
             known.clear()
         plain = {c for c in chunks if c and not any(map(str.isspace, c))}
         split = {c for c in plain if c[-1] in TRAILING and c[-2:-1].isalpha()}
-        asked = list(plain - split | {c[:-1] for c in split} - known.keys())
+        asked = list(plain - split | {c[:-1] for c in split if c[:-1] not in known})
         for i in range(0, len(asked), JOINED):
             known.update(zip(asked[i : i + JOINED], self._each(asked[i : i + JOINED], lead), strict=True))
         marks = {m: self._whole(m) for m in TRAILING}
@@ -79,7 +79,7 @@ class ChunkEncoder:
         if not self.keeps_space:
             parts = [t.replace("\n", " ").split(" ") for t in texts]
             self._forget()
-            self._learn(set().union(*parts) - self.first.keys(), self.first, "")
+            self._learn({c for c in set().union(*parts) if c not in self.first}, self.first, "")
             out = []
             for t, p in zip(texts, parts, strict=True):
                 try:
@@ -89,12 +89,12 @@ class ChunkEncoder:
             return out
         parts = [[line.split(" ") for line in t.split("\n")] for t in texts]
         self._forget()
-        self._learn({line[0] for p in parts for line in p} - self.first.keys(), self.first, "")
+        self._learn({line[0] for p in parts for line in p if line[0] not in self.first}, self.first, "")
         rest = set()
         for p in parts:
             for line in p:
                 rest.update(line)
-        self._learn(rest - self.later.keys(), self.later, " ")
+        self._learn({c for c in rest if c not in self.later}, self.later, " ")
         out, get = [], self.later.__getitem__
         for t, p in zip(texts, parts, strict=True):
             try:
