@@ -23,15 +23,24 @@ from .common import stored, words
 CLASSES = {"small": "[a-zß-ÿ]", "large": "[A-ZÀ-Þ]", "other_letter": "[\\p{L}&&[^a-zA-ZÀ-ÿ]]", "digit": "[0-9]", "space": "[ \\t-\\r]", "stop": "[.,;:?'\"()-]"}
 
 
+def with_rest(docs: DataFrame) -> DataFrame:
+    """docs with word_chars and `_rest`, the text without small letters and spaces. Most characters are one or the
+    other, so what is rarer is counted in `_rest`, which is short."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    rest = F.regexp_replace(t, f"[{CLASSES['small'][1:-1]}{CLASSES['space'][1:-1]}]+", "")
+    return docs.withColumns({"word_chars": F.length(F.regexp_replace(t, "[ \\t-\\r]+", "")).cast("long"), "_rest": rest})
+
+
 def base_counts(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; `_w` keeps the array of words.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; `_w` keeps the array
+    of words, `_rest` what with_rest() leaves.
 
     n_repeat_words counts words in five-word windows that occur twice or more in the text. Windows are told
     apart by a 64-bit hash. Sorting (hash, position) brings equal windows together; the windows found start at
     p1 < p2 < ..., and cover sum(min(5, p[k+1] - p[k])) words, the last one 5: time n log n and no comparison of pairs.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.withColumn("_w", words(t)).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("_w").cast("long"))
+    d = with_rest(docs).withColumn("_w", words(t)).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))).withColumn("n_words", F.size("_w").cast("long"))
     d = d.withColumn(
         "_g",
         F.when(F.size("_h") >= 6, F.expr("transform(sequence(0, size(_h) - 5), i -> xxhash64(_h[i], _h[i + 1], _h[i + 2], _h[i + 3], _h[i + 4]))")),
@@ -41,8 +50,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     repeat = F.expr("aggregate(transform(_p, (x, j) -> least(5, coalesce(get(_p, j + 1), x + 5) - x)), 0L, (a, x) -> a + x)")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     return d.withColumns({
-        "word_chars": F.length(F.regexp_replace(t, "[ \\t-\\r]+", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace("_rest", "[^#*$%&|<>]+", "")).cast("long"),
         "_l": lines,
         "n_repeat_words": F.coalesce(repeat, F.lit(0)).cast("long"),
     }).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")).drop("_h", "_g", "_s", "_p", "_l")
@@ -53,15 +61,12 @@ def _letters_only(text: Column) -> Column:
 
 
 def with_class_counts(docs: DataFrame) -> DataFrame:
-    """docs with _c_all (characters of the text) and _c_ and the name of each class. Most characters are small letters
-    and spaces: they are taken out first, and the other classes are counted in what is left."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    without = lambda c, k: F.regexp_replace(c, f"{CLASSES[k]}+", "")
-    d = docs.withColumn("_c_all", F.length(t)).withColumn("_t1", without(t, "small")).withColumn("_t2", without(F.col("_t1"), "space"))
+    """docs, from with_rest(), with _c_all (characters of the text) and _c_ and the name of each class."""
+    d = docs.withColumn("_c_all", F.length(F.coalesce(F.col("text"), F.lit(""))))
     only = lambda k: "[^\\p{L}]+|[a-zA-ZÀ-ÿ]+" if k == "other_letter" else f"[^{CLASSES[k]}]+"
-    counts = {"_c_small": F.col("_c_all") - F.length("_t1"), "_c_space": F.length("_t1") - F.length("_t2")}
-    counts |= {f"_c_{k}": F.length(F.regexp_replace("_t2", only(k), "")) for k in CLASSES if k not in ("small", "space")}
-    return d.withColumns(counts).drop("_t1", "_t2")
+    counts = {"_c_small": F.col("word_chars") - F.length("_rest"), "_c_space": F.col("_c_all") - F.col("word_chars")}
+    counts |= {f"_c_{k}": F.length(F.regexp_replace("_rest", only(k), "")) for k in CLASSES if k not in ("small", "space")}
+    return d.withColumns(counts)
 
 
 def references(docs: DataFrame, common_share: float, least_share: float) -> tuple[list[str], dict, dict]:
@@ -81,7 +86,7 @@ def references(docs: DataFrame, common_share: float, least_share: float) -> tupl
     shares = {k: dict.fromkeys(common, 0.0) for k in totals}
     for r in counts.filter(F.col("w").isin(common)).filter(limit.isNotNull()).collect():
         shares[r.lang][r.w] = r["count"] / totals[r.lang]
-    sums = with_class_counts(docs.select("lang", "text")).groupBy("lang").agg(*[F.sum(f"_c_{k}").alias(k) for k in [*CLASSES, "all"]])
+    sums = with_class_counts(with_rest(docs.select("lang", "text"))).groupBy("lang").agg(*[F.sum(f"_c_{k}").alias(k) for k in [*CLASSES, "all"]])
     classes = {r.lang: [r[k] / max(1, r["all"]) for k in CLASSES] for r in sums.filter(limit.isNotNull()).collect()}
     return common, {k: [*v, max(0.0, 1 - sum(v))] for k, v in classes.items()}, shares
 

@@ -30,7 +30,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     d = base_counts(docs)
     n, size = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.length(t), F.lit(1))
-    count = lambda c: F.length(F.regexp_replace(t, f"[^{c}]+", ""))
+    count = lambda c: F.length(F.regexp_replace("_rest", f"[^{c}]+", ""))
+    breaks = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
     d = d.withColumns({
         "words": F.col("n_words").cast("double"),
         "word_length": F.col("word_chars") / n,
@@ -44,7 +45,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         "repeated_words": F.col("n_repeat_words") / n,
         "distinct_words": F.size(F.array_distinct("_w")) / n,
         "same_as_last": F.expr("size(filter(_w, (x, i) -> i > 0 and x = _w[greatest(i - 1, 0)]))") / n,
-        "line_words": F.col("n_words") / (count("\\n") + 1),
+        "line_words": F.col("n_words") / (breaks + 1),
     })
     return d.select(*docs.columns, *[F.coalesce(F.col(s).cast("double"), F.lit(0.0)).alias(s) for s in STATISTICS])
 
