@@ -2,7 +2,9 @@
 
 A document's histograms over character classes and over common words are compared with those of each language
 by the Jensen-Shannon distance; the nearest language counts. References come from all documents: the shares of
-the character classes, and the words that make up at least `common_share` of a language's words.
+the character classes, and the words that make up at least `common_share` of a language's words. Every language has
+one. Those of languages with `least_share` of all words are compared with every document, those of the others, a table
+of any size, with the documents of their language, which a join by language brings to them.
 
 Defined cases: a null text counts as empty; a text without words fails the base rule (under 10 words); a text of
 fewer than `min_words` words gets no verdict by divergence and stays if the base rule lets it; rows with a null or
@@ -69,26 +71,46 @@ def with_class_counts(docs: DataFrame) -> DataFrame:
     return d.withColumns(counts)
 
 
-def references(docs: DataFrame, common_share: float, least_share: float) -> tuple[list[str], dict, dict]:
-    """(common words, language -> shares of the classes, language -> shares of the common words), over all documents.
+def references(docs: DataFrame, common_share: float, least_share: float) -> tuple[list[str], dict, dict, DataFrame]:
+    """(common words, language -> shares of the classes, language -> shares of the common words, others), over all documents.
 
-    Bounded: a language counts if it has least_share of all words, so there are at most 1 / least_share of them,
-    each with at most 1 / common_share common words.
+    Bounded but for the last: a language counts if it has least_share of all words, so there are at most 1 / least_share
+    of them, each with at most 1 / common_share common words. others: lang, _own_c (shares of the classes) and _own_w
+    (common word -> share) of each other language.
     """
     counts = stored(docs.select("lang", F.explode(_letters_only(F.col("text"))).alias("w")).groupBy("lang", "w").count(), "divergence-words")
-    totals = counts.groupBy("lang").agg(F.sum("count").alias("n"))
-    totals = {r.lang: r.n for r in totals.crossJoin(totals.agg(F.sum("n").alias("all"))).filter(F.col("n") >= least_share * F.col("all")).select("lang", "n").collect()}
-    if not totals:
-        return [], {}, {}
-    limit = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(k)), F.lit(common_share * v)) for k, v in totals.items()])
-    top = counts.filter(F.col("count") >= limit).collect()
+    by_lang = counts.groupBy("lang").agg(F.sum("count").alias("n"))
+    totals = {r.lang: r.n for r in by_lang.crossJoin(by_lang.agg(F.sum("n").alias("all"))).filter(F.col("n") >= least_share * F.col("all")).select("lang", "n").collect()}
+    limit = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(k)), F.lit(common_share * v)) for k, v in totals.items()], F.lit(None).cast("double"))
+    top = counts.filter(F.col("count") >= limit).collect() if totals else []
     common = sorted({r.w for r in top})
     shares = {k: dict.fromkeys(common, 0.0) for k in totals}
-    for r in counts.filter(F.col("w").isin(common)).filter(limit.isNotNull()).collect():
+    for r in counts.filter(F.col("w").isin(common)).filter(limit.isNotNull()).collect() if totals else []:
         shares[r.lang][r.w] = r["count"] / totals[r.lang]
     sums = with_class_counts(with_rest(docs.select("lang", "text"))).groupBy("lang").agg(*[F.sum(f"_c_{k}").alias(k) for k in [*CLASSES, "all"]])
+    sums = stored(sums, "divergence-classes")
     classes = {r.lang: [r[k] / max(1, r["all"]) for k in CLASSES] for r in sums.filter(limit.isNotNull()).collect()}
-    return common, {k: [*v, max(0.0, 1 - sum(v))] for k, v in classes.items()}, shares
+
+    own = F.array(*[F.col(k) / F.greatest(F.col("all"), F.lit(1)) for k in CLASSES])
+    own = F.concat(own, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(own, F.lit(0.0), lambda a, x: a + x))))
+    rare, n = counts.filter(limit.isNull()), by_lang.withColumnRenamed("lang", "_lang")
+    rare = rare.join(n, F.col("lang").eqNullSafe(F.col("_lang"))).filter(F.col("count") >= common_share * F.col("n"))
+    rare = rare.groupBy("_lang").agg(F.map_from_entries(F.collect_list(F.struct("w", F.col("count") / F.col("n")))).alias("_own_w"))
+    others = sums.filter(limit.isNull()).join(rare, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    others = others.select("lang", own.alias("_own_c"), F.coalesce("_own_w", F.expr("cast(map() as map<string,double>)")).alias("_own_w"))
+    return common, {k: [*v, max(0.0, 1 - sum(v))] for k, v in classes.items()}, shares, stored(others, "divergence-others")
+
+
+def with_own(docs: DataFrame, large: list, others: DataFrame) -> DataFrame:
+    """docs with _own_c and _own_w of their language, null for a large one. Only documents of the others are joined."""
+    kinds = dict(others.dtypes)
+    in_large = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(k)), F.lit(True)) for k in large], F.lit(False))
+    alone = docs.withColumns({c: F.lit(None).cast(kinds[c]) for c in ("_own_c", "_own_w")})
+    if others.isEmpty():
+        return alone
+    refs = others.withColumnRenamed("lang", "_lang")
+    joined = docs.filter(~in_large).join(refs, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    return alone.filter(in_large).unionByName(joined) if large else joined
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -97,38 +119,50 @@ def _term(p: Column, q: Column) -> Column:
     return (F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)) / 2
 
 
-def _add_term(ref: Column):
+def _add_term(ref: Column, key: str = "k"):
     """For words a document has; what the others add is half their share in the reference."""
-    return lambda a, r: a + _term(r["p"], F.element_at(ref, r["k"])) - F.element_at(ref, r["k"]) / 2
+    return lambda a, r: a + _term(r["p"], F.element_at(ref, r[key])) - F.element_at(ref, r[key]) / 2
+
+
+def _with_shares(d: DataFrame, i: str, to: str) -> DataFrame:
+    """d with `to`: struct(w, p) of each distinct word of the sorted array i, from its runs; p is its share of _n words."""
+    d = d.withColumn("_e", F.expr(f"filter(transform({i}, (x, j) -> if(x <=> get({i}, j + 1), -1, j)), j -> j >= 0)"))
+    runs = f"transform(_e, (e, j) -> struct({i}[e] as w, (e - coalesce(get(_e, j - 1), -1)) / cast(_n as double) as p))"
+    return d.withColumn(to, F.expr(runs).cast("array<struct<w:string,p:double>>"))
 
 
 def divergence(docs: DataFrame, min_words: int = 30, most_chars: float = 0.25, most_words: float = 0.5, common_share: float = 0.005, least_share: float = 0.01) -> DataFrame:
     """docs with the base counts, base_failed, char_distance and word_distance (null under min_words), and kept."""
-    common, classes, shares = references(docs, common_share, least_share)
-    d = with_class_counts(base_counts(docs))
+    common, classes, shares, others = references(docs, common_share, least_share)
+    d = with_class_counts(base_counts(with_own(docs, list(shares), others)))
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     d = d.withColumn("_c_rest", F.col("_c_all") - sum(F.col(f"_c_{k}") for k in CLASSES))
     judged = F.col("n_words") >= min_words
-    if not shares:
+    if not shares and others.isEmpty():
         return d.withColumns({"char_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
     p = [F.col(f"_c_{k}") / F.greatest(F.col("_c_all"), F.lit(1)) for k in [*CLASSES, "rest"]]
-    chars = F.least(*[F.sqrt(F.greatest(F.lit(0.0), sum(_term(a, F.lit(b)) for a, b in zip(p, q, strict=True)))) for q in classes.values()], F.lit(1.0))
+    char = [F.sqrt(F.greatest(F.lit(0.0), sum(_term(a, F.lit(b)) for a, b in zip(p, q, strict=True)))) for q in classes.values()]
+    char.append(F.when(F.col("_own_c").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), sum(_term(a, F.col("_own_c")[k]) for k, a in enumerate(p))))))
     # Common words of the text, sorted, and from their runs (position among all common words, share): each word is
     # looked up once in a set, and only distinct ones in the list.
     d = d.withColumn("_a", _letters_only(F.col("text"))).withColumn("_n", F.size("_a"))
     at = F.array(*[F.lit(w) for w in common]) if common else F.array().cast("array<string>")
-    d = d.withColumn("_i", F.sort_array(F.filter("_a", lambda w: w.isin(common))))
-    d = d.withColumn("_e", F.expr("filter(transform(_i, (x, j) -> if(x <=> get(_i, j + 1), -1, j)), j -> j >= 0)"))
-    d = d.withColumn("_r", F.expr("transform(_e, (e, j) -> struct(_i[e] as w, (e - coalesce(get(_e, j - 1), -1)) / cast(_n as double) as p))").cast("array<struct<w:string,p:double>>"))
+    d = _with_shares(d.withColumn("_i", F.sort_array(F.filter("_a", lambda w: w.isin(common)))), "_i", "_r")
     d = d.withColumn("_r", F.transform("_r", lambda r: F.struct(F.array_position(at, r["w"]).cast("int").alias("k"), r["p"].alias("p"))))
+    other = lambda i: F.greatest(F.lit(0.0), 1 - F.size(i) / F.greatest(F.col("_n"), F.lit(1)))
     word = []
     for q in shares.values():
-        ref = F.array(*[F.lit(float(q[w])) for w in common])
+        ref = F.array(*[F.lit(float(q[w])) for w in common]) if common else F.array().cast("array<double>")
         seen = F.aggregate("_r", F.lit(0.0), _add_term(ref))
         rest = F.lit(max(0.0, 1 - math.fsum(q.values())))
-        other = F.greatest(F.lit(0.0), 1 - F.size("_i") / F.greatest(F.col("_n"), F.lit(1)))
-        word.append(F.sqrt(F.greatest(F.lit(0.0), seen + F.lit(math.fsum(q.values()) / 2) + _term(other, rest))))
-    d = d.withColumns({"char_distance": F.when(judged, chars), "word_distance": F.when(judged, F.least(*word, F.lit(1.0)))})
+        word.append(F.sqrt(F.greatest(F.lit(0.0), seen + F.lit(math.fsum(q.values()) / 2) + _term(other("_i"), rest))))
+    # The same for the reference of the text's own language, if that is not one of the large ones.
+    d = _with_shares(d.withColumn("_j", F.expr("sort_array(filter(_a, w -> map_contains_key(_own_w, w)))")), "_j", "_o")
+    d = d.withColumn("_own_n", F.aggregate(F.map_values("_own_w"), F.lit(0.0), lambda a, x: a + x))
+    seen = F.aggregate("_o", F.lit(0.0), _add_term(F.col("_own_w"), "w"))
+    own = F.sqrt(F.greatest(F.lit(0.0), seen + F.col("_own_n") / 2 + _term(other("_j"), F.greatest(F.lit(0.0), 1 - F.col("_own_n")))))
+    word.append(F.when(F.col("_own_w").isNotNull(), own))
+    d = d.withColumns({"char_distance": F.when(judged, F.least(*char, F.lit(1.0))), "word_distance": F.when(judged, F.least(*word, F.lit(1.0)))})
     failed = F.coalesce((F.col("char_distance") > most_chars) | (F.col("word_distance") > most_words), F.lit(False))
     return d.withColumn("kept", ~F.col("base_failed") & ~failed)
 

@@ -62,6 +62,25 @@ def test_divergence_keeps_prose_and_drops_symbols(spark):
     assert all(kept[i] for i in range(60)) and not kept[99]
 
 
+def test_divergence_has_references_of_rare_languages(spark):
+    from framewright.llm.divergence import quality_rules
+
+    # A language of under 1 % of all words in another script, beside one without a name.
+    russian = "и в не на что дом лес река поле город утро вечер дорога ветер снег книга слово окно мост берег".split()
+    random = np.random.default_rng(3)
+    cyrillic = [(1000 + k, " ".join(russian[j] for j in random.integers(0, 20, 40)), "ru") for k in range(3)]
+    latin = [prose(k, 1) + "abcdefghijklmnopqrst"[k] for k in range(20)]
+    rows = [(k, " ".join(latin[j] for j in random.integers(0, 20, 60)), "en") for k in range(400)] + cyrillic + [(2000, cyrillic[0][1], None), (2001, "@ # = " * 30, "en")]
+    table = docs(spark, rows).withColumn("lang", F.col("source"))
+    got = {r.doc_id: r for r in quality_rules(table).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k].kept and got[k].char_distance < 0.1 and got[k].word_distance < 0.3 for k in (1000, 1001, 1002, 2000))
+    assert not got[2001].kept
+    # The same distances as when the language is a large one.
+    large = {r.doc_id: r for r in quality_rules(table.filter("lang is not null"), least_share=0.0).collect()}
+    assert all(got[k].word_distance == pytest.approx(large[k].word_distance, abs=1e-6) and got[k].char_distance == pytest.approx(large[k].char_distance, abs=1e-6) for k in (1000, 1001, 1002))
+
+
 def targets(sizes):
     """By sharing the excess again and again."""
     order = sorted(sizes, key=lambda s: (s is None, s))
