@@ -6,6 +6,10 @@ the character classes, and the words that make up at least `common_share` of a l
 one. Those of languages with `least_share` of all words are compared with every document, those of the others, a table
 of any size, with the documents of their language, which a join by language brings to them.
 
+How far words can be from a reference depends on what share of the language its common words make up. So the limit
+`most_words` is a share of the distance that a text without any common word has. A text stays if one and the same
+language is within both limits; a reference without common words has no limit for words.
+
 Defined cases: a null text counts as empty; a text without words fails the base rule (under 10 words); a text of
 fewer than `min_words` words gets no verdict by divergence and stays if the base rule lets it; rows with a null or
 repeated id, or with equal texts, are judged each on its own; a null language is a language of its own; an empty
@@ -14,6 +18,7 @@ table gives an empty result; other columns are left aside.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -131,7 +136,12 @@ def _with_shares(d: DataFrame, i: str, to: str) -> DataFrame:
     return d.withColumn(to, F.expr(runs).cast("array<struct<w:string,p:double>>"))
 
 
-def divergence(docs: DataFrame, min_words: int = 30, most_chars: float = 0.25, most_words: float = 0.5, common_share: float = 0.005, least_share: float = 0.01) -> DataFrame:
+def _limit(n: Column, most_words: float) -> Column:
+    """most_words of the distance of a text without common words, of which the language has a share of n."""
+    return F.when(n > 0, most_words * F.sqrt(n / 2 + _term(F.lit(1.0), F.greatest(F.lit(0.0), 1 - n)))).otherwise(1.0)
+
+
+def divergence(docs: DataFrame, min_words: int = 30, most_chars: float = 0.25, most_words: float = 0.95, common_share: float = 0.005, least_share: float = 0.01) -> DataFrame:
     """docs with the base counts, base_failed, char_distance and word_distance (null under min_words), and kept."""
     common, classes, shares, others = references(docs, common_share, least_share)
     d = with_class_counts(base_counts(with_own(docs, list(shares), others)))
@@ -150,20 +160,25 @@ def divergence(docs: DataFrame, min_words: int = 30, most_chars: float = 0.25, m
     d = _with_shares(d.withColumn("_i", F.sort_array(F.filter("_a", lambda w: w.isin(common)))), "_i", "_r")
     d = d.withColumn("_r", F.transform("_r", lambda r: F.struct(F.array_position(at, r["w"]).cast("int").alias("k"), r["p"].alias("p"))))
     other = lambda i: F.greatest(F.lit(0.0), 1 - F.size(i) / F.greatest(F.col("_n"), F.lit(1)))
-    word = []
+    word, limits = [], []
     for q in shares.values():
         ref = F.array(*[F.lit(float(q[w])) for w in common]) if common else F.array().cast("array<double>")
         seen = F.aggregate("_r", F.lit(0.0), _add_term(ref))
         rest = F.lit(max(0.0, 1 - math.fsum(q.values())))
         word.append(F.sqrt(F.greatest(F.lit(0.0), seen + F.lit(math.fsum(q.values()) / 2) + _term(other("_i"), rest))))
+        limits.append(_limit(F.lit(math.fsum(q.values())), most_words))
     # The same for the reference of the text's own language, if that is not one of the large ones.
     d = _with_shares(d.withColumn("_j", F.expr("sort_array(filter(_a, w -> map_contains_key(_own_w, w)))")), "_j", "_o")
     d = d.withColumn("_own_n", F.aggregate(F.map_values("_own_w"), F.lit(0.0), lambda a, x: a + x))
     seen = F.aggregate("_o", F.lit(0.0), _add_term(F.col("_own_w"), "w"))
     own = F.sqrt(F.greatest(F.lit(0.0), seen + F.col("_own_n") / 2 + _term(other("_j"), F.greatest(F.lit(0.0), 1 - F.col("_own_n")))))
     word.append(F.when(F.col("_own_w").isNotNull(), own))
-    d = d.withColumns({"char_distance": F.when(judged, F.least(*char, F.lit(1.0))), "word_distance": F.when(judged, F.least(*word, F.lit(1.0)))})
-    failed = F.coalesce((F.col("char_distance") > most_chars) | (F.col("word_distance") > most_words), F.lit(False))
+    limits.append(_limit(F.col("_own_n"), most_words))
+    # By language, so that each distance is worked out once.
+    d = d.withColumns({"_cd": F.when(judged, F.array(*char)), "_wd": F.when(judged, F.array(*word))})
+    d = d.withColumns({"char_distance": F.array_min("_cd"), "word_distance": F.array_min("_wd")})
+    near = [(F.col("_cd")[k] <= most_chars) & (F.col("_wd")[k] <= limit) for k, limit in enumerate(limits)]
+    failed = judged & ~functools.reduce(Column.__or__, [F.coalesce(x, F.lit(False)) for x in near])
     return d.withColumn("kept", ~F.col("base_failed") & ~failed)
 
 

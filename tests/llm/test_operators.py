@@ -81,6 +81,19 @@ def test_divergence_has_references_of_rare_languages(spark):
     assert all(got[k].word_distance == pytest.approx(large[k].word_distance, abs=1e-6) and got[k].char_distance == pytest.approx(large[k].char_distance, abs=1e-6) for k in (1000, 1001, 1002))
 
 
+def test_divergence_drops_texts_without_common_words(spark):
+    from framewright.llm.divergence import quality_rules
+
+    # 20 common words make up a quarter of the language; the others are rare.
+    random = np.random.default_rng(5)
+    word = lambda: "".join(random.choice(list("abcdefghij"), 8))
+    text = lambda share: " ".join(f"w{'abcdefghijklmnopqrst'[random.integers(20)]}" if random.random() < share else word() for _ in range(120))
+    rows = [(k, text(0.26)) for k in range(200)] + [(1000, text(0.0)), (1001, text(0.1))]
+    got = {r.doc_id: r for r in quality_rules(docs(spark, rows)).collect()}
+    assert not got[1000].base_failed and got[1000].char_distance < 0.25 and got[1000].word_distance < 0.5
+    assert not got[1000].kept and got[1001].kept and all(got[k].kept for k in range(200))
+
+
 def targets(sizes):
     """By sharing the excess again and again."""
     order = sorted(sizes, key=lambda s: (s is None, s))
