@@ -36,7 +36,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keeps_space, self.kind = keeps_space, f"<u{width}"
         self.first: dict[str, bytes] = {}  # chunks at the start of a line
         self.later: dict[str, bytes] = {} if keeps_space else self.first  # chunks after a space

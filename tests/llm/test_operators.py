@@ -158,6 +158,22 @@ def test_encoders_equal_the_library():
             assert np.frombuffer(ids, f"<u{width}").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoders_equal_a_fresh_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from framewright.llm.encode import ChunkEncoder
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y, <|startoftext|>.", "a\n<|endoftext|> b <|endoftext|>\n", *TRICKY, prose(4, 300)]
+    for name, keeps, width in (("byte_bpe_50k.json", True, 4), ("word_bpe_49k.json", False, 2)):
+        path = public_tokenizers.path(name)
+        fresh = Tokenizer.from_file(path)
+        for t, ids in zip(texts, ChunkEncoder(path, keeps, width).encode(texts), strict=True):
+            assert np.frombuffer(ids, f"<u{width}").tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+        if keeps:
+            assert fresh.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
 def test_token_files(spark, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
