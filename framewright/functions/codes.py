@@ -1,8 +1,8 @@
 """Bit strings, codewords and packet headers, as Spark expressions.
 
-Bits are STRING of 0 and 1, bytes are upper-case hex until a packet becomes BINARY. Rice bits run from the most
-significant; fixed-width blocks from the least; four-bit pairs have the first value in the low half; variable-length
-integers have the low seven bits first; the header's count has the high byte first.
+Bits are STRING of 0 and 1, the most significant first; bytes are upper-case hex or BINARY. Variable-length integers
+have the low seven bits first, the header's count has the high byte first. What is here is for single values and for
+lengths; whole frames are encoded and decoded by kernels.py.
 """
 
 from __future__ import annotations
@@ -10,13 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ints import TWO32, bit_width, unzigzag, wrap32
-
-# Fixed values of the packet format.
-MAGIC, VERSION, HEADER_BYTES = "50484443", 1, 8
-DELTA_VARINT, RICE, PACKED4, FIXED_WIDTH = 0, 1, 2, 3
-STRATEGIES = {"delta_varint": DELTA_VARINT, "rice": RICE, "packed4": PACKED4, "fixed_width": FIXED_WIDTH}
-MOST_SAMPLES, BLOCK, RICE_WINDOW, RICE_LIMIT, MOST_ZEROS, MOST_READ_ZEROS = 65535, 32, 16, 48, 255, 1024
+from .ints import TWO32, bit_width, unzigzag, zigzag
+from .format import BLOCK, HEADER_BYTES, MAGIC, MOST_ZEROS, RICE_LIMIT, VERSION
 
 
 def upto(n: Column) -> Column:
@@ -32,16 +27,39 @@ def hex_value(text: Column) -> Column:
     return F.conv(text, 16, 10).cast("long")
 
 
-def bits_to_hex(bits: Column) -> Column:
-    """Bytes of a bit string, most significant first, the last filled with zeros."""
-    n = F.ceil(F.length(bits) / 8).cast("int")
-    full = F.rpad(bits, n * 8, F.lit("0"))
-    return F.array_join(F.transform(upto(n), lambda i: F.lpad(F.conv(F.substring(full, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
+# Bit strings: what has been written so far, or what is to be read
+
+
+def write_bits(bits: Column, value: Column, width: Column, capacity: int | None = None) -> Column:
+    """STRUCT(bits, status): bits with the lowest `width` bits of value after them. -9 if width is not 1 .. 32, -1 if
+    they exceed `capacity` bytes."""
+    wrong = (width < 1) | (width > 32)
+    full = F.length(bits) + width > 8 * capacity if capacity is not None else F.lit(False)
+    status = F.when(bits.isNull() | value.isNull() | width.isNull(), F.lit(None).cast("int")).when(wrong, -9).when(full, -1).otherwise(0)
+    low = F.substring(F.lpad(F.bin(F.pmod(value.cast("long"), F.lit(TWO32))), 32, "0"), 33 - width, width)
+    return F.struct(F.when(status == 0, F.concat(bits, low)).alias("bits"), status.alias("status"))
+
+
+def read_bits(bits: Column, at: Column, width: Column) -> Column:
+    """STRUCT(value, next, status): the number in `width` bits from position `at`. -9 if width is not 1 .. 32, -6 if
+    there are too few."""
+    status = F.when(bits.isNull() | at.isNull() | width.isNull(), F.lit(None).cast("int")).when((width < 1) | (width > 32), -9).when(F.length(bits) < at + width, -6).otherwise(0)
+    value = F.conv(F.substring(bits, at + 1, width), 2, 10).cast("long")
+    return F.struct(F.when(status == 0, value).alias("value"), F.when(status == 0, at + width).cast("int").alias("next"), status.alias("status"))
+
+
+def align(bits: Column) -> Column:
+    """bits, filled with zeros to whole bytes."""
+    return F.rpad(bits, F.ceil(F.length(bits) / 8).cast("int") * 8, F.lit("0"))
+
 
+def bytes_written(bits: Column) -> Column:
+    return F.ceil(F.length(bits) / 8).cast("int")
 
-def hex_to_bits(text: Column, lowest_first: bool = False) -> Column:
-    byte = lambda i: F.lpad(F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 2), 8, "0")
-    return F.array_join(F.transform(upto((F.length(text) / 2).cast("int")), lambda i: F.reverse(byte(i)) if lowest_first else byte(i)), "")
+
+def remaining_bits(bits: Column, capacity: int) -> Column:
+    """Bits that a buffer of `capacity` bytes has left."""
+    return F.greatest(F.lit(0), F.lit(8 * capacity) - F.length(bits))
 
 
 # Variable-length integers
@@ -57,20 +75,35 @@ def varint_hex(u: Column) -> Column:
     return F.concat(hex_byte(u % 128 + F.when(u >= 128, 128).otherwise(0)), *parts)
 
 
-def varint_payload(d: Column) -> Column:
-    """Deltas as unsigned integers, without zigzag: a negative one takes five bytes."""
-    return F.array_join(F.transform(d, lambda x: varint_hex(F.pmod(x.cast("long"), F.lit(TWO32)))), "")
+def varint_zigzag_hex(x: Column) -> Column:
+    """varint_hex() of a signed value's zigzag."""
+    return varint_hex(zigzag(x))
+
 
+def varint_payload(d: Column, use_zigzag: bool = False) -> Column:
+    """Deltas as unsigned integers. Without zigzag, as packets have them, a negative one takes five bytes."""
+    return F.array_join(F.transform(d, lambda x: varint_zigzag_hex(x) if use_zigzag else varint_hex(F.pmod(x.cast("long"), F.lit(TWO32)))), "")
 
-def varint_tokens(payload: Column) -> Column:
-    return F.regexp_extract_all(payload, F.lit("(?:[89A-F][0-9A-F])*[0-7][0-9A-F]"), F.lit(0))
 
+def read_varint(packet: Column, at: Column | int) -> Column:
+    """STRUCT(value, next, status) of the integer at byte `at`: -6 if the bytes end within it, -9 if it has over five."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    byte = lambda k: hex_value(F.hex(F.substring(packet, at + k + 1, F.lit(1))))
+    more = lambda k: (F.length(packet) > at + k) & (byte(k) >= 128)
+    size, value = F.lit(1), F.lit(0).cast("long")
+    for k in range(4, -1, -1):
+        size = F.when(more(k), size + 1).otherwise(1)
+    for k in range(5):
+        value = value + F.when(size > k, F.shiftleft(byte(k) % 128, 7 * k)).otherwise(0)
+    status = F.when(packet.isNull(), F.lit(None).cast("int")).when((size > 5) & (F.length(packet) > at + 5), -9).when(F.length(packet) < at + size, -6).otherwise(0)
+    good = status == 0
+    return F.struct(F.when(good, value % TWO32).alias("value"), F.when(good, at + size).cast("int").alias("next"), status.cast("int").alias("status"))
 
-def varint_value(token: Column) -> Column:
-    """INT of a token of up to five bytes."""
-    size = (F.length(token) / 2).cast("int")
-    wide = F.aggregate(upto(size), F.lit(0).cast("long"), lambda a, i: a + (hex_value(F.substring(token, i * 2 + 1, F.lit(2))) % 128) * F.pow(F.lit(2.0), i * 7).cast("long"))
-    return wrap32(wide % TWO32)
+
+def read_zigzag(packet: Column, at: Column | int) -> Column:
+    """read_varint() with the value's zigzag undone."""
+    r = read_varint(packet, at)
+    return F.struct(unzigzag(r["value"]).alias("value"), r["next"].alias("next"), r["status"].alias("status"))
 
 
 # Rice codes
@@ -80,34 +113,20 @@ def rice_k(abs_sum: Column) -> Column:
     return F.when(abs_sum > RICE_LIMIT, 3).otherwise(1)
 
 
-def rice_codeword(v: Column, k: Column) -> Column:
-    """v >> k zeros, a one, k low bits."""
+def rice_code(v: Column, k: Column) -> Column:
+    """STRUCT(bits, status) of a value: v >> k zeros, a one, k low bits. -8 if k is not 0 .. 3, -10 if there would be
+    over MOST_ZEROS zeros."""
     rest = lambda n: F.lpad(F.bin(v % (1 << n)), n, "0")
     low = F.when(k == 1, rest(1)).when(k == 2, rest(2)).when(k == 3, rest(3)).otherwise("")
-    zeros = F.when(k == 0, v).when(k == 1, F.shiftright(v, 1)).when(k == 2, F.shiftright(v, 2)).otherwise(F.shiftright(v, 3)).cast("int")
-    return F.concat(F.repeat(F.lit("0"), zeros), F.lit("1"), low)
-
-
-def rice_payload(z: Column, k: Column) -> Column:
-    return bits_to_hex(F.array_join(F.transform(z, lambda v: rice_codeword(v, k)), ""))
+    zeros = F.when(k == 0, v).when(k == 1, F.shiftright(v, 1)).when(k == 2, F.shiftright(v, 2)).otherwise(F.shiftright(v, 3))
+    status = F.when(v.isNull() | k.isNull(), F.lit(None).cast("int")).when((k < 0) | (k > 3), -8).when(zeros > MOST_ZEROS, -10).otherwise(0)
+    return F.struct(F.when(status == 0, F.concat(F.repeat(F.lit("0"), zeros.cast("int")), F.lit("1"), low)).alias("bits"), status.alias("status"))
 
 
 def rice_overflows(z: Column, k: Column) -> Column:
     return F.coalesce(F.array_max(z), F.lit(0)) >= F.when(k == 3, (MOST_ZEROS + 1) << 3).otherwise((MOST_ZEROS + 1) << 1)
 
 
-def rice_tokens(bits: Column, k: Column) -> Column:
-    found = lambda n: F.regexp_extract_all(bits, F.lit("0*1[01]{%d}" % n), F.lit(0))
-    return F.when(k == 0, found(0)).when(k == 1, found(1)).when(k == 2, found(2)).otherwise(found(3))
-
-
-def rice_value(token: Column, k: Column) -> Column:
-    """Unsigned value of a codeword: its zeros times 2^k and its low bits."""
-    zeros = F.instr(token, "1").cast("long") - 1
-    low = F.when(k == 0, F.lit(0).cast("long")).otherwise(F.conv(F.substring(token, (zeros + 2).cast("int"), k), 2, 10).cast("long"))
-    return zeros * F.when(k == 0, 1).when(k == 1, 2).when(k == 2, 4).otherwise(8) + low
-
-
 # Four-bit codes
 
 
@@ -116,16 +135,6 @@ def nibble(d: Column) -> Column:
     return F.pmod(F.greatest(F.lit(-8), F.least(F.lit(7), F.shiftright(d, 8))), F.lit(16))
 
 
-def packed4_payload(d: Column) -> Column:
-    pair = lambda i: nibble(F.get(d, i * 2)) + F.when(i * 2 + 1 < F.size(d), nibble(F.get(d, i * 2 + 1))).otherwise(0) * 16
-    return F.array_join(F.transform(upto(F.ceil(F.size(d) / 2).cast("int")), lambda i: hex_byte(pair(i))), "")
-
-
-def packed4_deltas(payload: Column, n: Column) -> Column:
-    digit = lambda i: hex_value(F.substring(payload, F.when(i % 2 == 0, i + 2).otherwise(i), F.lit(1)))
-    return F.transform(upto(n), lambda i: ((digit(i) - F.when(digit(i) > 7, 16).otherwise(0)) * 256).cast("int"))
-
-
 # Fixed-width blocks
 
 
@@ -138,45 +147,6 @@ def block_widths(z: Column) -> Column:
     return F.transform(_blocks(z), bit_width)
 
 
-def fixed_payload(z: Column) -> Column:
-    """A width byte and the values' low bits for each block. Widths above 15 do not survive: the byte holds four bits,
-    and 16 is the most that is written."""
-
-    def block(values: Column) -> Column:
-        w = F.least(bit_width(values), F.lit(16))
-        bits = F.array_join(F.transform(values, lambda v: F.substring(F.reverse(F.lpad(F.bin(v % 65536), 16, "0")), F.lit(1), w)), "")
-        n = F.ceil(F.length(bits) / 8).cast("int")
-        full = F.rpad(bits, n * 8, F.lit("0"))
-        bytes_ = F.transform(upto(n), lambda i: F.lpad(F.conv(F.reverse(F.substring(full, i * 8 + 1, F.lit(8))), 2, 16), 2, "0"))
-        return F.concat(hex_byte(w % 16), F.when(w > 0, F.array_join(bytes_, "")).otherwise(""))
-
-    return F.array_join(F.transform(_blocks(z), block), "")
-
-
-def fixed_layout(payload: Column, n: Column) -> Column:
-    """(at, w, n) of each block: byte where its values start, width, values. A block's place depends on the widths
-    before it; w is null from where the payload ends too early."""
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<at:int,w:int,n:int>>").alias("out"))
-
-    def step(a: Column, b: Column) -> Column:
-        w = F.when(F.length(payload) >= (a["at"] + 1) * 2, (hex_value(F.substring(payload, a["at"] * 2 + 1, F.lit(2))) % 16).cast("int"))
-        count = F.least(F.lit(BLOCK), n - b * BLOCK).cast("int")
-        end = a["at"] + 1 + F.ceil(w * count / 8).cast("int")
-        w = F.when(F.length(payload) >= end * 2, w)
-        return F.struct(F.coalesce(end, F.length(payload)).cast("int").alias("at"), F.array_append(a["out"], F.struct((a["at"] + 1).cast("int").alias("at"), w.alias("w"), count.alias("n"))).alias("out"))
-
-    return F.aggregate(upto(F.ceil(n / BLOCK).cast("int")), start, step, lambda a: a["out"])
-
-
-def fixed_deltas(payload: Column, layout: Column) -> Column:
-    def block(b: Column) -> Column:
-        bits = hex_to_bits(F.substring(payload, b["at"] * 2 + 1, (F.ceil(b["w"] * b["n"] / 8) * 2).cast("int")), lowest_first=True)
-        value = lambda j: F.when(b["w"] == 0, F.lit(0).cast("long")).otherwise(F.conv(F.reverse(F.substring(bits, j * b["w"] + 1, b["w"])), 2, 10).cast("long"))
-        return F.transform(upto(b["n"]), lambda j: unzigzag(value(j)))
-
-    return F.flatten(F.transform(layout, block))
-
-
 # Header
 
 

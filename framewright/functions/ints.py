@@ -9,8 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO31, TWO32 = 1 << 31, 1 << 32
-#: Samples of a part, over which prefix sums are taken before the parts are joined.
-PART = 256
 
 
 def wrap32(x: Column) -> Column:
@@ -23,22 +21,6 @@ def deltas(samples: Column) -> Column:
     return F.transform(samples, lambda x, i: wrap32(x.cast("long") - F.when(i == 0, F.lit(0)).otherwise(F.get(samples, i - 1)).cast("long")))
 
 
-def _running(values: Column) -> Column:
-    """Inclusive prefix sums of a short array of BIGINT."""
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("seen"))
-    return F.aggregate(values, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["seen"], a["sum"] + x).alias("seen")), lambda a: a["seen"])
-
-
-def prefix_sums(d: Column) -> Column:
-    """Samples from deltas, wrapping. Parts of PART values each, then the parts' totals: n * PART steps, not n^2."""
-    wide = F.transform(d, lambda x: x.cast("long"))
-    n_parts = F.ceil(F.size(d) / PART).cast("int")
-    parts = F.when(n_parts > 0, F.transform(F.sequence(F.lit(0), n_parts - 1), lambda p: _running(F.slice(wide, p * PART + 1, F.lit(PART))))).otherwise(F.array().cast("array<array<bigint>>"))
-    before = _running(F.transform(parts, lambda p: F.element_at(p, -1)))
-    joined = F.transform(parts, lambda p, i: F.transform(p, lambda x: wrap32(x + F.coalesce(F.get(before, i - 1), F.lit(0)))))
-    return F.when(d.isNotNull(), F.flatten(joined))
-
-
 def sum_abs(d: Column, n: int) -> Column:
     """Sum of the absolute values of the first n deltas."""
     return F.aggregate(F.slice(d, 1, n), F.lit(0).cast("long"), lambda a, x: a + F.abs(x.cast("long")))
@@ -65,6 +47,11 @@ def to_q15(x: Column) -> Column:
     return F.greatest(F.lit(-32768), F.least(F.lit(32767), x))
 
 
+def from_q15(x: Column) -> Column:
+    """A 16-bit value as INT."""
+    return x.cast("int")
+
+
 def pack_pair(low: Column, high: Column) -> Column:
     """Two 16-bit values in one INT, the first in the low half."""
     return wrap32(F.pmod(low.cast("long"), F.lit(65536)) + F.pmod(high.cast("long"), F.lit(65536)) * 65536)
@@ -80,13 +67,10 @@ def deltas_paired(samples: Column) -> Column:
     """deltas() as paired 16-bit lanes give them: within whole pairs, samples are clamped to 16 bits and differences
     wrap at 16 bits; an odd last sample has its full difference."""
     lane = lambda v: F.when(v >= 32768, v - 65536).otherwise(v)
-    clamped = F.transform(samples, lambda x: to_q15(x).cast("long"))
     even = F.size(samples) - F.size(samples) % 2
-    last = lambda a, i: F.when(i == 0, F.lit(0)).otherwise(F.get(a, i - 1)).cast("long")
-    return F.transform(
-        samples,
-        lambda x, i: F.when(i < even, lane(F.pmod(F.get(clamped, i) - last(clamped, i), F.lit(65536))).cast("int")).otherwise(wrap32(x.cast("long") - last(samples, i))),
-    )
+    last = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(samples, i - 1))
+    paired = lambda x, i: lane(F.pmod(to_q15(x).cast("long") - to_q15(last(i)).cast("long"), F.lit(65536))).cast("int")
+    return F.transform(samples, lambda x, i: F.when(i < even, paired(x, i)).otherwise(wrap32(x.cast("long") - last(i).cast("long"))))
 
 
 def sum_abs_saturating(d: Column, n: int) -> Column:

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Codes, names and messages of errors. -1000 is an addition of this library.
+# Codes, names and messages of errors; in braces, what an error carries. -1000 is an addition of this
+# library.
 ERRORS = {
-    -1: ("BufferTooSmall", "Output exceeds the byte budget"),
-    -2: ("InvalidChannelCount", "A frame has at most 65535 samples"),
-    -3: ("CorruptedHeader", "The packet does not start with the magic number"),
-    -4: ("UnsupportedVersion", "The packet has another format version"),
-    -5: ("InvalidStrategy", "The packet's strategy is unknown or not the one asked for"),
-    -6: ("UnexpectedEndOfInput", "The packet ends too early"),
-    -7: ("InvalidZigZagValue", "A zigzag value is out of range"),
-    -8: ("InvalidRiceParameter", "A Rice parameter is at most 3"),
-    -9: ("BitPositionOverflow", "A variable-length integer or bit width is too long"),
-    -10: ("RiceQuotientOverflow", "A value is too large for its Rice parameter"),
-    -1000: ("WidthUnsupported", "A block needs more than 15 bits a value"),
+    -1: ("BufferTooSmall", "Buffer too small: {required} bytes required"),
+    -2: ("InvalidChannelCount", "Invalid channel count: expected {expected}, got {actual}"),
+    -3: ("CorruptedHeader", "Corrupted packet header (invalid magic bytes)"),
+    -4: ("UnsupportedVersion", "Unsupported codec version: {version}"),
+    -5: ("InvalidStrategy", "Invalid compression strategy ID: {strategy_id}"),
+    -6: ("UnexpectedEndOfInput", "Unexpected end of input (truncated data)"),
+    -7: ("InvalidZigZagValue", "Invalid ZigZag encoded value"),
+    -8: ("InvalidRiceParameter", "Invalid Rice parameter k={k} (must be 0-3)"),
+    -9: ("BitPositionOverflow", "Bit position overflow in BitWriter"),
+    -10: ("RiceQuotientOverflow", "Rice quotient overflow: value {value} too large for k={k} (quotient would exceed 255)"),
+    -1000: ("WidthUnsupported", "Block width unsupported: more than 15 bits a value"),
 }
 
 
@@ -37,12 +40,15 @@ def error_code(name: Column) -> Column:
     return out
 
 
-def error_message(code: Column, detail: Column | None = None) -> Column:
-    """A sentence for a status, with detail in brackets if there is one."""
+def error_message(code: Column, **details: Column) -> Column:
+    """The sentence for a status, with its details; one that is not given counts as 0, as it is when an error comes
+    from its code alone."""
     out = F.lit(None).cast("string")
     for k, (_, text) in ERRORS.items():
-        out = F.when(code == k, text).otherwise(out)
-    return out if detail is None else F.when(detail.isNull(), out).otherwise(F.format_string("%s (%s)", out, detail.cast("string")))
+        parts = re.split(r"\{(\w+)\}", text)
+        words = [details.get(p, F.lit(0)).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)]
+        out = F.when(code == k, F.concat(*words)).otherwise(out)
+    return out
 
 
 def error_table(spark: SparkSession) -> DataFrame:

@@ -1,7 +1,9 @@
 """Encoding frames to packets and decoding packets to frames.
 
-A frame is a row with `samples ARRAY<INT>`; a packet is a row with `packet BINARY`. All work is within a row, by Spark
-expressions: no shuffle, no Python. Each result has a status; a row that fails has null for its packet or samples.
+A frame is a row with `samples ARRAY<INT>`; a packet is a row with `packet BINARY`. All work is within a row, so
+nothing is shuffled; whole batches of rows go through numpy, in time proportional to their samples. Each result has a
+status; a row that fails has null for its packet or samples. Columns of results replace columns of that name, all other
+columns of the input stay as they are.
 """
 
 from __future__ import annotations
@@ -12,13 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.ints import deltas, prefix_sums, sum_abs, unzigzag, zigzag
+from ..functions import vectors as V
+from ..functions.format import BLOCK, FIXED_WIDTH, HEADER_BYTES, MOST_SAMPLES, RICE_WINDOW, STRATEGIES
+from ..functions.ints import deltas, sum_abs, zigzag
 
 OVERFLOW = ("null", "drop", "retry_k3")
 
 
 class Strategy(Protocol):
-    """What register() takes: a way to encode and decode frames."""
+    """What register() takes: a way to encode and decode frames. Its packets start with a header that holds its
+    strategy_id, 4 .. 63, so that decode() can tell them."""
 
     requires_zigzag: bool
     strategy_id: int
@@ -32,8 +37,11 @@ _registered: dict[str, Strategy] = {}
 
 
 def register(name: str, strategy: Strategy) -> None:
-    if name in C.STRATEGIES or name in _registered:
-        raise ValueError(f"{name} is taken")
+    taken = {s.strategy_id for s in _registered.values()} | set(STRATEGIES.values())
+    if name in STRATEGIES or name in _registered or strategy.strategy_id in taken:
+        raise ValueError(f"{name} or its id is taken")
+    if strategy.strategy_id not in range(64):
+        raise ValueError("a strategy's id has six bits")
     _registered[name] = strategy
 
 
@@ -41,92 +49,51 @@ def registered(name: str) -> Strategy | None:
     return _registered.get(name)
 
 
-def _staged(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with helper columns, of which later steps use each more than once; Spark then keeps them apart."""
-    return df.withColumns({f"_{k}": v for k, v in columns.items()})
+def _staged(df: DataFrame, *columns: Column) -> tuple[DataFrame, list[Column]]:
+    """df with helper columns under names that it does not have, and the helpers."""
+    stem = "_"
+    while any(c.lower().startswith(stem) for c in df.columns):
+        stem += "_"
+    names = [f"{stem}{i}" for i in range(len(columns))]
+    return df.withColumns(dict(zip(names, columns, strict=True))), [F.col(n) for n in names]
 
 
 def _done(df: DataFrame, own: list[str], **columns: Column) -> DataFrame:
-    return df.select(*[c for c in own if c not in columns], *[v.alias(k) for k, v in columns.items()])
+    return df.select(*[F.col(f"`{c}`") for c in own if c not in columns], *[v.alias(k) for k, v in columns.items()])
 
 
-def encode(df: DataFrame, strategy: str, parity: str = "strict", on_overflow: str = "null", max_bytes: int | None = None) -> DataFrame:
+def encode(df: DataFrame, strategy: str, parity: str = "strict", on_overflow: str = "null", max_bytes: int | None = None, k: int | None = None) -> DataFrame:
     """df with packet and status.
 
-    Status -2: over 65535 samples. -10: a value is too large for Rice codes; on_overflow 'drop' leaves such rows out,
-    'retry_k3' tries k = 3 first. -1000: a block of fixed_width needs over 15 bits; parity 'lenient' writes the
-    bytes all the same, although they do not decode. -1: the packet is larger than max_bytes.
+    Status -2: over 65535 samples. -8: k, the Rice parameter of all frames in place of one by frame, is not 0 .. 3.
+    -10: a value is too large for Rice codes; on_overflow 'drop' leaves such rows out, 'retry_k3' tries k = 3 first.
+    -1000: a block of fixed_width needs over 15 bits; parity 'lenient' writes the bytes all the same, although they do
+    not decode. -1: the packet is larger than max_bytes. Null for a null frame and one with a null sample.
     """
     if strategy in _registered:
         return _registered[strategy].encode(df, parity=parity, on_overflow=on_overflow, max_bytes=max_bytes)
-    if strategy not in C.STRATEGIES or parity not in ("strict", "lenient") or on_overflow not in OVERFLOW:
+    if strategy not in STRATEGIES or parity not in ("strict", "lenient") or on_overflow not in OVERFLOW:
         raise ValueError(f"unknown strategy, parity or on_overflow: {strategy}, {parity}, {on_overflow}")
-    own, sid = df.columns, C.STRATEGIES[strategy]
-    long_ = F.size("samples") > C.MOST_SAMPLES
-    d = _staged(df, d=F.when(~long_, deltas(F.col("samples"))))
-    status, k = F.when(F.col("samples").isNull(), F.lit(None).cast("int")).when(long_, -2), F.lit(0)
-    if sid == C.DELTA_VARINT:
-        payload = C.varint_payload(F.col("_d"))
-    elif sid == C.PACKED4:
-        payload = C.packed4_payload(F.col("_d"))
-    else:
-        d = _staged(d, z=F.transform("_d", zigzag))
-        if sid == C.RICE:
-            d = _staged(d, k=C.rice_k(sum_abs(F.col("_d"), C.RICE_WINDOW)))
-            if on_overflow == "retry_k3":
-                d = d.withColumn("_k", F.when(C.rice_overflows(F.col("_z"), F.col("_k")), 3).otherwise(F.col("_k")))
-            d, k = _staged(d, over=C.rice_overflows(F.col("_z"), F.col("_k"))), F.col("_k")
-            status = status.when(F.col("_over"), -10)
-            payload = F.when(~F.col("_over"), C.rice_payload(F.col("_z"), k))
-        else:
-            payload = C.fixed_payload(F.col("_z"))
-            if parity == "strict":
-                status = status.when(F.coalesce(F.array_max("_z"), F.lit(0)) >= 1 << 15, -1000)
-    d = _staged(d, status=status.otherwise(0))
-    d = _staged(d, packet=F.when(F.col("_status") == 0, F.unhex(F.concat(C.header_hex(F.size("samples"), sid, k), payload))))
+    own = df.columns
+    d, (r,) = _staged(df, V.encoded(F.col("samples"), strategy, parity == "strict", on_overflow == "retry_k3", k))
+    packet, status = r["packet"], r["status"]
     if max_bytes is not None:
-        d = d.withColumn("_status", F.when(F.length("_packet") > max_bytes, -1).otherwise(F.col("_status"))).withColumn("_packet", F.when(F.col("_status") == 0, F.col("_packet")))
-    out = _done(d, own, packet=F.col("_packet"), status=F.col("_status"))
+        over = F.length(packet) > max_bytes
+        packet, status = F.when(~over, packet), F.when(over, -1).otherwise(status)
+    out = _done(d, own, packet=packet, status=status)
     return out.filter(~F.col("status").eqNullSafe(-10)) if on_overflow == "drop" else out
 
 
-def _payloads(df: DataFrame) -> DataFrame:
-    h = C.header(F.col("packet"))
-    d = _staged(df, status=C.header_status(F.col("packet")), n=h["channel_count"], sid=h["strategy_id"], k=h["rice_k"])
-    return _staged(d, p=F.when(F.col("_status") == 0, F.substring(F.hex("packet"), 17, 1 << 30)))
+def _decoded(df: DataFrame, strategy: str, name: str, sums: bool) -> DataFrame:
+    if strategy != "auto" and strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy}")
+    d, (r,) = _staged(df, V.decoded(F.col("packet"), None if strategy == "auto" else strategy, sums))
+    return _done(d, df.columns, **{name: r["values"], "status": r["status"]})
 
 
 def decode_deltas(df: DataFrame, strategy: str = "auto") -> DataFrame:
     """df with deltas and status; see decode()."""
-    own, d = df.columns, _payloads(df)
-    asked = C.STRATEGIES.get(strategy)
-    ids = sorted(C.STRATEGIES.values()) if strategy == "auto" else [asked]
-    if asked is None and strategy != "auto":
-        raise ValueError(f"unknown strategy: {strategy}")
-    if asked is not None:
-        d = d.withColumn("_status", F.when((F.col("_status") == 0) & (F.col("_sid") != asked), -5).otherwise(F.col("_status")))
-    n, k, p = F.col("_n"), F.col("_k"), F.col("_p")
-    of = lambda sid: (F.col("_status") == 0) & (F.col("_sid") == sid)
-    status, values = F.when(F.col("_status").isNull(), F.lit(None).cast("int")).when(F.col("_status") != 0, F.col("_status")), F.lit(None).cast("array<int>")
-    if C.DELTA_VARINT in ids:
-        d = _staged(d, v=F.when(of(C.DELTA_VARINT), F.slice(C.varint_tokens(p), F.lit(1), n)))
-        tail = F.regexp_extract(p, "^(?:(?:[89A-F][0-9A-F])*[0-7][0-9A-F])*((?:[89A-F][0-9A-F])*)$", 1)
-        status = status.when(of(C.DELTA_VARINT) & F.exists("_v", lambda t: F.length(t) > 10), -9)
-        status = status.when(of(C.DELTA_VARINT) & (F.size("_v") < n), F.when(F.length(tail) > 10, -9).otherwise(-6))
-        values = F.when(of(C.DELTA_VARINT), F.transform("_v", C.varint_value)).otherwise(values)
-    if C.RICE in ids:
-        d = _staged(d, r=F.when(of(C.RICE), F.slice(C.rice_tokens(C.hex_to_bits(p), k), F.lit(1), n)))
-        status = status.when(of(C.RICE) & ((F.size("_r") < n) | F.exists("_r", lambda t: F.instr(t, "1") - 1 > C.MOST_READ_ZEROS)), -6)
-        values = F.when(of(C.RICE), F.transform("_r", lambda t: unzigzag(C.rice_value(t, k)))).otherwise(values)
-    if C.PACKED4 in ids:
-        status = status.when(of(C.PACKED4) & (F.length(p) < F.ceil(n / 2) * 2), -6)
-        values = F.when(of(C.PACKED4), C.packed4_deltas(p, n)).otherwise(values)
-    if C.FIXED_WIDTH in ids:
-        d = _staged(d, f=F.when(of(C.FIXED_WIDTH), C.fixed_layout(p, n)))
-        status = status.when(of(C.FIXED_WIDTH) & F.exists("_f", lambda b: b["w"].isNull()), -6)
-        values = F.when(of(C.FIXED_WIDTH), C.fixed_deltas(p, F.col("_f"))).otherwise(values)
-    d = _staged(d, s2=status.otherwise(0))
-    return _done(d, own, deltas=F.when(F.col("_s2") == 0, values), status=F.col("_s2"))
+    return _decoded(df, strategy, "deltas", False)
 
 
 def decode(df: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -134,56 +101,69 @@ def decode(df: DataFrame, strategy: str = "auto") -> DataFrame:
 
     Statuses, in this order: header (-6, -3, -4, -5), -5 if the packet has another strategy than asked for,
     -9 for a variable-length integer of over five bytes, -6 for a payload that ends too early. 'auto' decodes
-    each packet by the strategy that its header names.
+    each packet by the strategy that its header names, registered ones included.
     """
     if strategy in _registered:
         return _registered[strategy].decode(df)
-    own = df.columns
-    d = decode_deltas(df.drop("status"), strategy)
-    return _done(d, [c for c in own if c != "status"], samples=prefix_sums(F.col("deltas")), status=F.col("status"))
+    if strategy != "auto" or not _registered:
+        return _decoded(df, strategy, "samples", True)
+    sid = F.when(C.header_status(F.col("packet")).isin(0, -5), C.header(F.col("packet"))["strategy_id"])
+    theirs = F.coalesce(sid.isin([s.strategy_id for s in _registered.values()]), F.lit(False))
+    out = _decoded(df.filter(~theirs), "auto", "samples", True)
+    for s in _registered.values():
+        part = s.decode(df.filter(sid == s.strategy_id))
+        out = out.unionByName(part if "status" in part.columns else part.withColumn("status", F.lit(0)))
+    return out
+
+
+def header_packet(n: Column, strategy_id: int, payload: Column) -> Column:
+    """BINARY of a header and a payload, for strategies of one's own."""
+    return F.concat(F.unhex(C.header_hex(n, strategy_id, 0)), payload)
 
 
 def inspect(df: DataFrame) -> DataFrame:
     """df (packet) with the header's fields, payload_bytes, and status; failing headers have nulls."""
     h, own = C.header(F.col("packet")), df.columns
-    d = _staged(df, status=C.header_status(F.col("packet")), h=h)
-    ok = lambda f: F.when(F.col("_status") == 0, F.col(f"_h.{f}"))
-    return _done(d, own, **{f: ok(f) for f in ("version", "channel_count", "strategy_id", "rice_k")}, payload_bytes=F.when(F.col("_status") == 0, F.length("packet") - C.HEADER_BYTES), status=F.col("_status"))
+    d, (status, head) = _staged(df, C.header_status(F.col("packet")), h)
+    ok = lambda c: F.when(status == 0, c)
+    return _done(d, own, **{f: ok(head[f]) for f in ("version", "channel_count", "strategy_id", "rice_k")}, payload_bytes=ok(F.length("packet") - HEADER_BYTES), status=status)
 
 
 def sizes(df: DataFrame) -> DataFrame:
     """df (samples) with the packet's bytes under each strategy, null where it cannot hold the frame, from the
     lengths of the codewords: no packet is made."""
     own = df.columns
-    d = _staged(df, d=F.when(F.size("samples") <= C.MOST_SAMPLES, deltas(F.col("samples"))))
-    d = _staged(d, z=F.transform("_d", zigzag), k=C.rice_k(sum_abs(F.col("_d"), C.RICE_WINDOW)))
+    d, (delta,) = _staged(df, F.when(F.size("samples") <= MOST_SAMPLES, deltas(F.col("samples"))))
+    d, (z, k) = _staged(d, F.transform(delta, zigzag), C.rice_k(sum_abs(delta, RICE_WINDOW)))
     total = lambda a, f: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + f(x))
-    bits = total(F.col("_z"), lambda v: F.when(F.col("_k") == 3, F.shiftright(v, 3) + 4).otherwise(F.shiftright(v, 1) + 2))
-    n = F.size("_d")
-    block = lambda w, b: F.ceil(w * F.least(F.lit(C.BLOCK), n - b * C.BLOCK) / 8) + 1
-    blocks = F.aggregate(F.transform(C.block_widths(F.col("_z")), block), F.lit(0).cast("long"), lambda s, x: s + x)
+    bits = total(z, lambda v: F.when(k == 3, F.shiftright(v, 3) + 4).otherwise(F.shiftright(v, 1) + 2))
+    n = F.size(delta)
+    block = lambda w, b: F.ceil(w * F.least(F.lit(BLOCK), n - b * BLOCK) / 8) + 1
+    blocks = F.aggregate(F.transform(C.block_widths(z), block), F.lit(0).cast("long"), lambda s, x: s + x)
     return _done(
         d, own,
-        delta_varint=C.HEADER_BYTES + total(F.col("_d"), lambda x: C.varint_bytes(F.pmod(x.cast("long"), F.lit(1 << 32)))),
-        rice=F.when(~C.rice_overflows(F.col("_z"), F.col("_k")), C.HEADER_BYTES + F.ceil(bits / 8)),
-        packed4=F.when(F.col("_d").isNotNull(), C.HEADER_BYTES + F.ceil(n / 2)),
-        fixed_width=F.when(F.coalesce(F.array_max("_z"), F.lit(0)) < 1 << 15, C.HEADER_BYTES + blocks),
+        delta_varint=HEADER_BYTES + total(delta, lambda x: C.varint_bytes(F.pmod(x.cast("long"), F.lit(1 << 32)))),
+        rice=F.when(~C.rice_overflows(z, k), HEADER_BYTES + F.ceil(bits / 8)),
+        packed4=F.when(delta.isNotNull(), HEADER_BYTES + F.ceil(n / 2)),
+        fixed_width=F.when(F.coalesce(F.array_max(z), F.lit(0)) < 1 << 15, HEADER_BYTES + blocks),
     )
 
 
 def best_strategy(df: DataFrame) -> DataFrame:
     """df (samples) with best, the lossless strategy of fewest bytes (of equal ones the first by id), and best_bytes."""
-    own, d = df.columns, sizes(df)
-    options = [(C.STRATEGIES[s], s) for s in ("delta_varint", "rice", "fixed_width")]
-    least = F.array_min(F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.col(s).alias("n"), F.lit(i).alias("id"), F.lit(s).alias("name"))) for i, s in options]))
-    d = _staged(d, best=least)
-    return _done(d, own, best=F.col("_best.name"), best_bytes=F.col("_best.n"))
+    own = df.columns
+    packed = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)])
+    d = sizes(df.select(packed.alias("own"), "samples"))
+    options = [(STRATEGIES[s], s) for s in ("delta_varint", "rice", "fixed_width")]
+    d, (least,) = _staged(d, F.array_min(F.array(*[F.when(F.col(s).isNotNull(), F.struct(F.col(s).alias("n"), F.lit(i).alias("id"), F.lit(s).alias("name"))) for i, s in options])))
+    return d.select(*[F.col("own")[f"c{i}"].alias(c) for i, c in enumerate(own) if c not in ("best", "best_bytes")], least["name"].alias("best"), least["n"].alias("best_bytes"))
 
 
 def compare(df: DataFrame, left: str = "samples", right: str = "decoded") -> DataFrame:
     """df with max_error and differing, over the two arrays' samples by position, and ratio of the packet's bytes to
     four bytes a sample if df has packet."""
     errors = F.transform(F.arrays_zip(F.col(left).alias("a"), F.col(right).alias("b")), lambda p: F.abs(p["a"].cast("long") - p["b"].cast("long")))
-    own, d = df.columns, _staged(df, e=errors)
+    own = df.columns
+    d, (e,) = _staged(df, errors)
     more = {"ratio": F.length("packet") / (F.size(left) * 4)} if "packet" in own else {}
-    return _done(d, own, max_error=F.coalesce(F.array_max("_e"), F.lit(0)), differing=F.size(F.filter("_e", lambda x: x != 0)), **more)
+    return _done(d, own, max_error=F.coalesce(F.array_max(e), F.lit(0)), differing=F.size(F.filter(e, lambda x: x != 0)), **more)

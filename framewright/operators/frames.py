@@ -49,7 +49,7 @@ def dense_frames(counts: DataFrame, bins: DataFrame, channels: DataFrame) -> Dat
     counts, not bins times channels; the list of channels, at most 65535 of them, goes along with each bin."""
     listed = channels.agg(F.sort_array(F.collect_set("channel")).alias("_all"))
     folded = counts.groupBy("bin_start").agg(F.sort_array(F.collect_list(F.struct("channel", "n"))).alias("_seen"))
-    joined = bins.select("bin_start").distinct().join(folded, "bin_start", "left").join(F.broadcast(listed))
+    joined = bins.select("bin_start").distinct().join(folded, "bin_start", "left").join(F.broadcast(listed))  # listed is one row
     dense = F.map_from_entries(F.coalesce("_seen", F.array().cast("array<struct<channel:bigint,n:int>>")))
     zero = F.map_from_entries(F.transform("_all", lambda c: F.struct(c.alias("channel"), F.lit(0).alias("n"))))
     merged = F.map_zip_with(zero, dense, lambda _, a, b: F.coalesce(b, a))

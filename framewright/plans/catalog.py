@@ -8,12 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes as C
-from ..functions.ints import bit_width, deltas, prefix_sums, sum_abs, to_q15, unzigzag, zigzag
-from ..functions.status import error_name, error_table
+from ..functions.format import BLOCK, MOST_SAMPLES, RICE
+from ..functions.ints import bit_width, deltas, deltas_paired, from_q15, pack_pair, sum_abs, sum_abs_saturating, to_q15, unpack_pair, unzigzag, zigzag
+from ..functions.status import ERRORS, error_message, error_name, error_table
+from ..functions.vectors import bits_to_bytes, blocks_of_width, prefix_sums
 from ..operators import codecs
 from ..operators.frames import bin_counts, delta_long, dense_frames, frames, spikes, to_long, undelta_long
+from ..sources.packets import byte_at, remaining, take_bytes, within_budget
 
 THRESHOLD = 50.0
+#: Bytes that packet_budget allows.
+BUDGET = 200
 
 #: Frame families: table, key, order, sample.
 FAMILIES = {
@@ -117,6 +122,67 @@ def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.encode(d, "delta_varint").select(F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss").alias("bin_start"), _joined("samples").alias("samples"), F.length("packet").alias("bytes"))
 
 
+def _mismatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of two strategies, all read as Rice."""
+    f = _frames(spark, sf_dir)
+    both = codecs.encode(f.filter("frame_id % 2 = 0"), "rice").union(codecs.encode(f.filter("frame_id % 2 = 1"), "delta_varint"))
+    return codecs.decode(both.select("frame_id", "packet"), "rice").select("frame_id", F.when(F.col("samples").isNotNull(), F.size("samples")).alias("n"), "status")
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return df.select("frame_id", "status", F.length("packet").alias("bytes"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = to_long(_frames(spark, sf_dir, "vectors"))
+    d = d.withColumn("pair", pack_pair(F.col("sample"), -F.col("sample")))
+    low, high = unpack_pair(F.col("pair"))
+    return d.select("frame_id", "idx", "pair", low.alias("low"), high.alias("high"), from_q15(low.cast("short")).alias("wide"))
+
+
+def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("packet")
+    d = codecs.encode(_frames(spark, sf_dir), "delta_varint")
+    return d.select("frame_id", byte_at(p, 6).alias("seventh"), byte_at(p, 100_000).alias("beyond"), F.hex(take_bytes(p, 0, 4)[0]).alias("magic"), take_bytes(p, 0, BUDGET)[1].alias("status"), F.length(remaining(p, 8)).alias("payload_bytes"))
+
+
+def _zigzag_varints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _frames(spark, sf_dir, "lines").withColumn("payload", C.varint_payload(deltas(F.col("samples")), use_zigzag=True))
+    first = C.read_zigzag(F.unhex("payload"), 0)
+    return d.select("frame_id", "payload", first["value"].alias("first"), first["next"].alias("next"), first["status"].alias("status"))
+
+
+def _bit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count in 16 bits and a remainder in three, written, aligned and read back; a third field has no room."""
+    d = _frames(spark, sf_dir).select("frame_id", F.size("samples").alias("n"), (F.col("frame_id") % 8).alias("r"))
+    one = C.write_bits(F.lit(""), F.col("n"), F.lit(16))["bits"]
+    d = d.withColumn("bits", C.write_bits(one, F.col("r"), F.lit(3))["bits"])
+    back, full = C.read_bits(F.col("bits"), F.lit(16), F.lit(3)), C.write_bits(F.col("bits"), F.lit(1), F.lit(6), 3)
+    short, wide = C.read_bits(F.col("bits"), F.lit(16), F.lit(4)), C.write_bits(F.col("bits"), F.lit(1), F.lit(33))
+    return d.select(
+        "frame_id", F.hex(bits_to_bytes("bits")).alias("bytes"), back["value"].alias("r"), back["next"].alias("next"), full["status"].alias("full"), short["status"].alias("short"),
+        wide["status"].alias("wide"), C.bytes_written(F.col("bits")).alias("written"), C.remaining_bits(F.col("bits"), 3).alias("room"), F.length(C.align(F.col("bits"))).alias("aligned"),
+    )
+
+
+def _counts_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest frame, and one that is a sample too long."""
+    d = spark.range(2).select(F.col("id").alias("frame_id"), F.transform(F.sequence(F.lit(1), (F.lit(MOST_SAMPLES) + F.col("id")).cast("int")), lambda i: i % 7).alias("samples"))
+    return _sized(codecs.encode(d, "fixed_width"))
+
+
+def _block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _frames(spark, sf_dir, "vectors")
+    d = d.withColumn("r", blocks_of_width(F.slice(deltas(F.col("samples")), 1, BLOCK), (F.col("frame_id") % 18).cast("int")))
+    return d.select("frame_id", F.hex("r.block").alias("block"), F.col("r.status").alias("status"))
+
+
+def _rice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codewords of single values, k from 0 to 4."""
+    d = to_long(_frames(spark, sf_dir, "lines")).withColumn("r", C.rice_code(F.col("sample").cast("long") * 9, (F.col("idx") % 5).cast("int")))
+    return d.select("frame_id", "idx", "r.bits", "r.status")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     f = _frames
     round_trip = lambda s, d: undelta_long(delta_long(to_long(f(s, d, "vectors"))).select("frame_id", "idx", "delta")).select("frame_id", "idx", "sample")
@@ -131,7 +197,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bit_width_by_block": lambda s, d: f(s, d, "lines").select("frame_id", F.posexplode(C.block_widths(F.transform(deltas(F.col("samples")), zigzag))).alias("block", "width")),
         "bit_width": lambda s, d: f(s, d, "vectors").select("frame_id", bit_width(F.transform(deltas(F.col("samples")), zigzag)).alias("width")),
         "q15_clamp": lambda s, d: to_long(f(s, d, "orders")).select("frame_id", "idx", to_q15(F.col("sample")).alias("q15")),
-        "header_write": lambda s, d: f(s, d).select("frame_id", C.header_hex(F.size("samples"), C.RICE, C.rice_k(sum_abs(deltas(F.col("samples")), 16))).alias("header")),
+        "header_write": lambda s, d: f(s, d).select("frame_id", C.header_hex(F.size("samples"), RICE, C.rice_k(sum_abs(deltas(F.col("samples")), 16))).alias("header")),
         "header_read_status": _damaged,
         "varint_length": lambda s, d: f(s, d).select("frame_id", F.length(codecs_payload(F.col("samples"))).alias("hex_digits")),
         "varint_packet": lambda s, d: _hexed(codecs.encode(f(s, d), "delta_varint")),
@@ -150,6 +216,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spike_bins": lambda s, d: bin_counts(spikes(_hours(s, d), THRESHOLD), "1 hour").select(F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss").alias("bin_start"), "channel", "n"),
         "dense_spike_frames": _dense,
         "error_codes": lambda s, d: error_table(s),
+        "error_messages": lambda s, d: error_table(s).select("code", error_message(F.col("code"), k=F.lit(7), required=F.lit(16)).alias("text")),
+        "strategy_mismatch": _mismatched,
+        "rice_retry_k3": lambda s, d: _sized(codecs.encode(f(s, d, "events4"), "rice", on_overflow="retry_k3")),
+        "rice_drop": lambda s, d: _sized(codecs.encode(f(s, d, "events4"), "rice", on_overflow="drop")),
+        "rice_given_k": lambda s, d: _sized(codecs.encode(f(s, d, "events4"), "rice", k=2)),
+        "rice_wrong_k": lambda s, d: _sized(codecs.encode(f(s, d), "rice", k=4)),
+        "rice_codes": _rice_codes,
+        "paired_deltas": lambda s, d: f(s, d, "orders").select("frame_id", F.posexplode(deltas_paired(F.col("samples"))).alias("idx", "delta")),
+        "saturating_sums": lambda s, d: f(s, d, "events4").select("frame_id", sum_abs_saturating(deltas(F.col("samples")), 15).alias("sum_abs")),
+        "i16_pairs": _pairs,
+        "compression_ratio": lambda s, d: codecs.compare(codecs.encode(f(s, d, "vectors"), "fixed_width").withColumn("decoded", F.col("samples"))).select("frame_id", "ratio", "differing"),
+        "packet_budget": lambda s, d: codecs.encode(f(s, d), "delta_varint", max_bytes=BUDGET).select("frame_id", "status", within_budget(F.col("packet"), BUDGET // 2).alias("half")),
+        "packet_cursor": _cursor,
+        "zigzag_varints": _zigzag_varints,
+        "bit_fields": _bit_fields,
+        "count_check": _counts_checked,
+        "fixed_block": _block,
+        "spike_bins_25ms": lambda s, d: bin_counts(spikes(_hours(s, d), THRESHOLD), "25 milliseconds").select(F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss.SSS").alias("bin_start"), "channel", "n"),
     }
 
 
@@ -159,7 +243,6 @@ def codecs_payload(samples: Column) -> Column:
 
 def oracle_sql() -> dict[str, str]:
     e, v, ln, o, e4 = (_sql_frames(x) for x in ("events", "vectors", "lines", "orders", "events4"))
-    unnested = "SELECT frame_id, CAST(i - 1 AS INT) AS idx, {} FROM {}, range(1, len(s) + 1) AS r(i)"
     long_ = "SELECT frame_id, unnest(range(0, len(s))) AS i, * EXCLUDE (frame_id) FROM "
     at = lambda a: f"{a}[CAST(i + 1 AS BIGINT)]"
     rice = f"CASE WHEN NOT ({OVER}) THEN {_sql_header(1, 'k')} || {_sql_hex('bits')} END"
@@ -167,7 +250,6 @@ def oracle_sql() -> dict[str, str]:
     hour = "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')"
     names = ["BufferTooSmall", "InvalidChannelCount", "CorruptedHeader", "UnsupportedVersion", "InvalidStrategy", "UnexpectedEndOfInput", "InvalidZigZagValue", "InvalidRiceParameter", "BitPositionOverflow", "RiceQuotientOverflow"]
     sizes = _sizes_sql()
-    del unnested
     return {
         "delta_encode": f"WITH {e}, {D} SELECT frame_id, CAST(i AS INT) AS idx, {at('s')} AS sample, CAST({at('d')} AS INT) AS delta FROM ({long_} d)",
         "delta_reconstruct": f"WITH {v} SELECT frame_id, CAST(i AS INT) AS idx, {at('s')} AS sample FROM ({long_} f)",
@@ -200,4 +282,45 @@ def oracle_sql() -> dict[str, str]:
         "dense_spike_frames": f"WITH b AS (SELECT DISTINCT {hour} AS bin_start FROM events), c AS (SELECT DISTINCT user_id AS ch FROM events), n AS (SELECT {hour} AS bin_start, user_id AS ch, count(*) AS n FROM events WHERE value > {THRESHOLD} GROUP BY 1, 2), "
         f"f AS (SELECT b.bin_start AS frame_id, list(CAST(coalesce(n.n, 0) AS INT) ORDER BY c.ch) AS s FROM b CROSS JOIN c LEFT JOIN n ON n.bin_start = b.bin_start AND n.ch = c.ch GROUP BY 1), {D}, {U} SELECT frame_id AS bin_start, array_to_string(s, ',') AS samples, CAST(8 + length({VARINT}) / 2 AS INT) AS bytes FROM u",
         "error_codes": "SELECT CAST(-i AS INT) AS code, (" + repr(names).replace('"', "'") + ")[i] AS name FROM range(1, 11) AS r(i)",
+        } | _more_sql(e, v, ln, o, e4, long_, at)
+
+
+def _more_sql(e: str, v: str, ln: str, o: str, e4: str, long_: str, at: Callable[[str], str]) -> dict[str, str]:
+    rice_bytes = "CAST(8 + ceil(list_sum(list_transform(z, lambda v: (v >> {k}) + 1 + {k})) / 8.0) AS INT)"
+    k2 = "y AS (SELECT *, CASE WHEN " + OVER + " THEN 3 ELSE k END AS k2 FROM z)"
+    over2 = "list_max(z) >= CASE WHEN k2 = 3 THEN 2048 ELSE 512 END"
+    q = "greatest(-32768, least(32767, {}))"
+    even = "i < len(s) - len(s) % 2"
+    before = "CASE WHEN i = 0 THEN 0 ELSE s[CAST(i AS BIGINT)] END"
+    lane = f"(({q.format(at('s'))} - {q.format(before)}) + 98304) % 65536 - 32768"
+    sample = at("s")
+    pair = f"(({sample} + 65536) % 65536) + ((65536 - {sample}) % 65536) * 65536"
+    fields = "lpad(bin(len(s)), 16, '0') || lpad(bin(frame_id % 8), 3, '0')"
+    texts = [text.format(required=16, expected=0, actual=0, version=0, strategy_id=0, k=7, value=0) for c, (_, text) in ERRORS.items() if c > -1000]
+    block = "lpad(bin(w % 16), 8, '0') || " + _sql_padded("array_to_string(list_transform(z[1:32], lambda v: reverse(right(lpad(bin(v), 40, '0'), w))), '')")
+    ms = "strftime(time_bucket(INTERVAL '25 milliseconds', ts), '%Y-%m-%d %H:%M:%S.%g')"
+    zig = VARINT.replace("list_transform(u, lambda", "list_transform(z, lambda")
+    value, k = f"{at('s')} * 9", "(i % 5)"
+    return {
+        "error_messages": "SELECT CAST(-i AS INT) AS code, ([" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "])[i] AS text FROM range(1, 11) AS r(i)",
+        "strategy_mismatch": f"WITH {e} SELECT frame_id, CASE WHEN frame_id % 2 = 0 THEN CAST(len(s) AS INT) END AS n, CASE WHEN frame_id % 2 = 0 THEN 0 ELSE -5 END AS status FROM f",
+        "rice_retry_k3": f"WITH {e4}, {D}, {Z}, {k2} SELECT frame_id, CASE WHEN {over2} THEN -10 ELSE 0 END AS status, CASE WHEN NOT ({over2}) THEN {rice_bytes.format(k='k2')} END AS bytes FROM y",
+        "rice_drop": f"WITH {e4}, {D}, {Z} SELECT frame_id, 0 AS status, {rice_bytes.format(k='k')} AS bytes FROM z WHERE NOT ({OVER})",
+        "rice_given_k": f"WITH {e4}, {D}, {Z} SELECT frame_id, CASE WHEN list_max(z) >= 1024 THEN -10 ELSE 0 END AS status, CASE WHEN list_max(z) < 1024 THEN {rice_bytes.format(k='2')} END AS bytes FROM z",
+        "rice_wrong_k": f"WITH {e} SELECT frame_id, -8 AS status, CAST(NULL AS INT) AS bytes FROM f",
+        "rice_codes": f"WITH {ln} SELECT frame_id, CAST(i AS INT) AS idx, CASE WHEN {k} < 4 AND ({value} >> {k}) <= 255 THEN repeat('0', CAST({value} >> {k} AS BIGINT)) || '1' || right(lpad(bin({value}), 40, '0'), {k}) END AS bits, "
+        f"CASE WHEN {k} = 4 THEN -8 WHEN ({value} >> {k}) > 255 THEN -10 ELSE 0 END AS status FROM (SELECT frame_id, CAST(unnest(range(0, len(s))) AS INT) AS i, s FROM f)",
+        "paired_deltas": f"WITH {o} SELECT frame_id, CAST(i AS INT) AS idx, CAST(CASE WHEN {even} THEN {lane} ELSE {at('s')} - {before} END AS INT) AS delta FROM ({long_} f)",
+        "saturating_sums": f"WITH {e4}, {D}, h AS (SELECT frame_id, d[1:15] AS h FROM d) SELECT frame_id, CAST(list_sum(list_transform(h, lambda x, i: CASE WHEN i <= len(h) - len(h) % 4 THEN least(abs(x), 255) ELSE abs(x) END)) AS BIGINT) AS sum_abs FROM h",
+        "i16_pairs": f"WITH {v} SELECT frame_id, CAST(i AS INT) AS idx, CAST(CASE WHEN {pair} >= 2147483648 THEN {pair} - 4294967296 ELSE {pair} END AS INT) AS pair, {sample} AS low, -{sample} AS high, {sample} AS wide FROM (SELECT frame_id, unnest(range(0, len(s))) AS i, list_transform(s, lambda x: CAST(x AS BIGINT)) AS s FROM f)",
+        "compression_ratio": f"WITH {v}, {D}, {Z}, {BLOCKS}, {WIDTHS} SELECT frame_id, CAST(8 + list_sum(list_transform(ws, lambda w, i: 1 + ceil(w * len(bl[i]) / 8.0))) AS DOUBLE) / (4 * len(s)) AS ratio, 0 AS differing FROM w",
+        "packet_budget": f"WITH {e}, {D}, {U}, x AS (SELECT frame_id, 8 + length({VARINT}) / 2 AS b FROM u) SELECT frame_id, CASE WHEN b > {BUDGET} THEN -1 ELSE 0 END AS status, CASE WHEN b > {BUDGET} THEN NULL WHEN b > {BUDGET // 2} THEN -1 ELSE 0 END AS half FROM x",
+        "packet_cursor": f"WITH {e}, {D}, {U}, x AS (SELECT frame_id, len(s) AS n, CAST(length({VARINT}) / 2 AS INT) AS b FROM u) SELECT frame_id, CAST(n % 256 AS INT) AS seventh, CAST(NULL AS INT) AS beyond, '50484443' AS magic, CASE WHEN 8 + b >= {BUDGET} THEN 0 ELSE -6 END AS status, b AS payload_bytes FROM x",
+        "zigzag_varints": f"WITH {ln}, {D}, {Z} SELECT frame_id, {zig} AS payload, CAST(d[1] AS INT) AS first, CASE WHEN z[1] < 128 THEN 1 ELSE 2 END AS next, 0 AS status FROM z",
+        "bit_fields": f"WITH {e}, x AS (SELECT frame_id, {fields} || '00000' AS bits FROM f) SELECT frame_id, {_sql_hex('bits')} AS bytes, frame_id % 8 AS r, 19 AS next, -1 AS full, -6 AS short, -9 AS wide, 3 AS written, 5 AS room, 24 AS aligned FROM x",
+        "count_check": f"SELECT CAST(i AS BIGINT) AS frame_id, CASE WHEN i = 0 THEN 0 ELSE -2 END AS status, CASE WHEN i = 0 THEN CAST(8 + (SELECT sum(1 + ceil(w * n / 8.0)) FROM (SELECT count(*) AS n, CASE WHEN max(z) = 0 THEN 0 ELSE length(bin(max(z))) END AS w FROM "
+        f"(SELECT j // 32 AS b, CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS z FROM (SELECT j, (j + 1) % 7 - CASE WHEN j = 0 THEN 0 ELSE j % 7 END AS x FROM range(0, {MOST_SAMPLES}) AS t(j))) GROUP BY b)) AS INT) END AS bytes FROM range(0, 2) AS r(i)",
+        "fixed_block": f"WITH {v}, {D}, {Z}, w AS (SELECT frame_id, z, CAST(frame_id % 18 AS INT) AS w FROM z), r AS (SELECT *, CASE WHEN w <= 16 THEN {block} END AS raw FROM w), t AS (SELECT *, substr(raw, 1, 8) || array_to_string(list_transform(range(1, CAST(length(raw) / 8 AS BIGINT)), lambda j: reverse(substr(raw, CAST(8 * j + 1 AS BIGINT), 8))), '') AS bits FROM r) "
+        f"SELECT frame_id, {_sql_hex('bits')} AS block, CASE WHEN w > 16 THEN -6 ELSE 0 END AS status FROM t",
+        "spike_bins_25ms": f"SELECT {ms} AS bin_start, user_id AS channel, CAST(count(*) AS INT) AS n FROM events WHERE value > {THRESHOLD} GROUP BY 1, 2",
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.codecs import encode
 
@@ -20,6 +21,16 @@ def stream_packets(readings: DataFrame, threshold: float, bin_: str, n_channels:
     hit = F.when(F.col("v") > threshold, 1).otherwise(0)
     counts = readings.withWatermark("ts", lateness).groupBy(F.window("ts", bin_), "channel").agg(F.sum(hit).cast("int").alias("n"))
     by_bin = counts.groupBy(F.window(F.window_time("window"), bin_)).agg(F.collect_list(F.struct("channel", "n")).alias("_seen"))
-    n_of = lambda c: F.coalesce(F.get(F.filter("_seen", lambda s: s["channel"] == c), F.lit(0))["n"], F.lit(0))
-    dense = by_bin.select(F.col("window.start").alias("bin_start"), F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)), n_of).alias("samples"))
+    # Every channel's count, from a map of zeros over which the counts go: one step a channel.
+    zeros = F.map_from_arrays(F.sequence(F.lit(0).cast("long"), F.lit(n_channels - 1).cast("long")), F.array_repeat(F.lit(0), n_channels))
+    seen = F.map_from_entries(F.transform("_seen", lambda s: F.struct(s["channel"].cast("long"), s["n"])))
+    merged = F.map_filter(F.map_zip_with(zeros, seen, lambda _, a, b: F.when(a.isNotNull(), F.coalesce(b, a))), lambda _, n: n.isNotNull())
+    dense = by_bin.select(F.col("window.start").alias("bin_start"), F.transform(F.array_sort(F.map_entries(merged)), lambda e: e["value"]).alias("samples"))
     return encode(dense, strategy)
+
+
+def write_stream(packets: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Starts the stream's sink: packets as Parquet files, each bin once, exactly. every: a trigger's interval; without
+    one, what is there is worked off and the query ends."""
+    w = packets.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("compression", "none")
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start(path)

@@ -38,7 +38,7 @@ def test_stream_equals_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
     from framewright.operators.frames import detect_and_bin
-    from framewright.streaming.spikes import stream_packets
+    from framewright.streaming.spikes import stream_packets, write_stream
 
     start = datetime.datetime(2024, 1, 1)
     data = [(start + datetime.timedelta(milliseconds=7 * i), i % 6, float(2000 + (i * 37) % 100)) for i in range(100)]
@@ -46,9 +46,9 @@ def test_stream_equals_batch(spark, tmp_path):
     late = spark.createDataFrame([(start + datetime.timedelta(seconds=60), 0, 0.0)], "ts timestamp, channel long, v double")
     df.union(late).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = stream_packets(stream, 2048, "25 milliseconds", 6).writeStream.format("memory").queryName("packets").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = write_stream(stream_packets(stream, 2048, "25 milliseconds", 6), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
-    got = {r.bin_start: (list(r.samples), r.status) for r in spark.table("packets").collect()}
+    got = {r.bin_start: (list(r.samples), r.status) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     bins = df.select(F.window("ts", "25 milliseconds")["start"].alias("bin_start"))
     batch = detect_and_bin(df, 2048, "25 milliseconds", bins, spark.range(6).select(F.col("id").alias("channel")))
     want = {r.bin_start: (list(r.samples), 0) for r in batch.collect()}
