@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import workers_find_package as workers_find_package
+
 #: Characters that separate words, in every operator of this package: space, tab, \n, \v, \f, \r.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -16,17 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workers_find_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (a cluster may ship it with --py-files instead)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own if all run in
+    one process (tests), else an error: executors would write to their own disks and later reads miss those files."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return found or "file:///tmp/framewright-shared"
 
 
@@ -66,8 +63,9 @@ def held_out(doc_id: Column, folds: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """(doc_id, text, y, n) of at most per_class documents of each label value, the first by a hash of the id,
-    among those that are not held out (modulo 5). Ids labelled twice count once, with the larger label.
-    The rows are bounded by 2 * per_class, so both the broadcast of their ids and their collection are.
+    among those that are not held out (modulo 5). Ids labelled twice count once, with the larger label; of rows with
+    one id, the one whose text has the smallest hash is taken. So there are 2 * per_class rows at most, and both the
+    broadcast of their ids and their collection have that bound.
     n: how many ids have that label value, to weigh the sample back to all labels."""
     known = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5))
@@ -76,4 +74,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     n = known.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
     order = [F.xxhash64(F.col("doc_id")), F.col("doc_id")]
     picked = known.filter("y = 0").orderBy(*order).limit(per_class).unionByName(known.filter("y = 1").orderBy(*order).limit(per_class))
-    return docs.join(F.broadcast(picked.join(F.broadcast(n), "y")), "doc_id").select("doc_id", "text", "y", "n")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked.join(F.broadcast(n), "y")), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")  # partial sums keep one row for each id
+    return rows.groupBy("doc_id", "y", "n").agg(first).select("doc_id", F.col("r.text").alias("text"), "y", "n")

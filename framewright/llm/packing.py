@@ -70,31 +70,30 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = G
     workers_find_package(docs.sparkSession)
 
     def run(batches):
-        enc, sequence = encoder(tokenizer, False, 2), TaskContext.get().partitionId() << 36
+        enc, sequence = encoder(tokenizer, False), TaskContext.get().partitionId() << 36
         ids, names, held = [], [], 0
 
         def flush():
             nonlocal sequence
-            rows = pack([len(x) // 2 for x in ids], length)
-            wide = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in ids]
+            rows = pack([len(x) for x in ids], length)
             cols = [
                 [names[d] for d, *_ in rows], [r[1] for r in rows], [r[2] for r in rows],
-                [zlib.crc32(wide[d][4 * a : 4 * (a + n)]) for d, a, n, _, _ in rows],
-                [len(ids[d]) // 2 for d, *_ in rows], [sequence + r[3] for r in rows], [r[4] for r in rows],
+                [zlib.crc32(ids[d][a : a + n]) for d, a, n, _, _ in rows],
+                [len(ids[d]) for d, *_ in rows], [sequence + r[3] for r in rows], [r[4] for r in rows],
             ]
             sequence += 1 + max((r[3] for r in rows), default=-1)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                for name, x in zip(part.column("doc_id").to_pylist(), enc.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
-                    ids.append(x + END.to_bytes(2, "little"))
-                    names.append(name)
-                    held += len(ids[-1]) // 2
-                    if held >= group:
-                        yield flush()
-                        ids, names, held = [], [], 0
+            flat, starts = enc.encode(batch.column("text"), END)
+            flat, at = flat.astype("<u4"), starts.tolist()
+            for name, i, j in zip(batch.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
+                ids.append(flat[i:j])
+                names.append(name)
+                held += j - i
+                if held >= group:
+                    yield flush()
+                    ids, names, held = [], [], 0
         if ids:
             yield flush()
 

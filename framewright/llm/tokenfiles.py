@@ -29,17 +29,12 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, stripe_mb: int = 16) -
     workers_find_package(docs.sparkSession)
 
     def encode(batches):
-        enc, before = encoder(tokenizer, True, 4), 0
+        enc, before = encoder(tokenizer, True), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                ids = [x + END.to_bytes(4, "little") for x in enc.encode(texts)]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(sizes), pa.array(before + ends[:-1])], names=["doc_id", "ids", "n_tokens", "before"])
-                before += int(ends[-1])
+            ids, starts = enc.encode(batch.column("text"), END)
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(starts)), pa.array(before + starts[:-1])], names=["doc_id", "ids", "n_tokens", "before"])
+            before += int(starts[-1])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
@@ -48,12 +43,24 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, stripe_mb: int = 16) -
     rows.write.options(**options).orc(path)
 
 
+def rows_of(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows, with `_part`, the number of the file in their order. Names hold it, but not to be ordered as text."""
+    rows = spark.read.schema("doc_id long, ids array<int>, n_tokens long, before long").orc(path)
+    return rows.withColumn("_part", F.regexp_extract(F.col("_metadata.file_name"), "^part-(\\d+)", 1).cast("long"))
+
+
+def with_start(rows: DataFrame, path: str) -> DataFrame:
+    """rows (_part, before, ...) with start, the ids of all documents before it, for both. The table of files has a row
+    for each file, so as many as write_orc() had partitions; it is small enough for one task to sum up and is joined as
+    Spark sees fit by its size."""
+    files = rows_of(rows.sparkSession, path).groupBy("_part").agg(F.sum("n_tokens").alias("_n"))
+    files = files.withColumn("_base", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return rows.join(files, "_part").withColumn("start", F.col("_base") + F.col("before")).drop("_part", "_base", "before")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Each row of the files with start, the ids of all documents before it."""
-    rows = spark.read.schema("doc_id long, ids array<int>, n_tokens long, before long").orc(path).withColumn("_file", F.col("_metadata.file_name"))
-    files = rows.groupBy("_file").agg(F.sum("n_tokens").alias("_n"))  # a row for each file
-    files = files.withColumn("_base", F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).drop("_n")
-    return rows.join(files, "_file").withColumn("start", F.col("_base") + F.col("before")).drop("_file", "_base", "before")
+    return with_start(rows_of(spark, path), path)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -71,7 +78,9 @@ def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
         for b in batches:
             ids = b.column("ids")
             flat, at = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_part"), b.column("before"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "_part", "before", "n_tokens", "ids_crc32"])
 
-    return read_index(spark, path).select("doc_id", "start", "ids").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # First the digests, a few numbers for each document; no ids are shuffled to learn where their file begins.
+    rows = rows_of(spark, path).select("doc_id", "_part", "before", "ids").mapInArrow(digest, "doc_id long, _part long, before long, n_tokens long, ids_crc32 long")
+    return with_start(rows, path).select("doc_id", "start", "n_tokens", "ids_crc32")

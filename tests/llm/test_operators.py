@@ -147,31 +147,47 @@ def test_permutation(spark):
 TRICKY = ["", " a", "a  b", "a\n\nb", "x.\nY, z", "don't it's", "a\t \tb", "é ́b", "<|endoftext|> q", "12.5, 3.", "a\x1cb", "\x01 b", "a\n \nb ", "wörter, ñandú."]
 
 
-def test_encoders_equal_the_library():
-    import public_tokenizers
-
-    from framewright.llm.encode import ChunkEncoder
-
-    for name, keeps, width in (("byte_bpe_50k.json", True, 4), ("word_bpe_49k.json", False, 2)):
-        e = ChunkEncoder(public_tokenizers.path(name), keeps, width)
-        for t, ids in zip([*TRICKY, prose(4, 300)], e.encode([*TRICKY, prose(4, 300)]), strict=True):
-            assert np.frombuffer(ids, f"<u{width}").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
-
-
 def test_encoders_equal_a_fresh_tokenizer():
     import public_tokenizers
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     from framewright.llm.encode import ChunkEncoder
 
-    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y, <|startoftext|>.", "a\n<|endoftext|> b <|endoftext|>\n", *TRICKY, prose(4, 300)]
-    for name, keeps, width in (("byte_bpe_50k.json", True, 4), ("word_bpe_49k.json", False, 2)):
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y, <|startoftext|>.", "a\n<|endoftext|> b <|endoftext|>\n", "x\n<|endoftext|>", "<|startoftext|>a"]
+    texts = [*special, *TRICKY, "\n", "\n\n", "\n\n\n", "a\n", "..", ". ,", "é. É,\nÈ", "ªº µ İx ß × a×b", "日本 語, テ.", "ſ ǆ ẞ. Å Å", prose(4, 300), None]
+    for name, keeps in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
         path = public_tokenizers.path(name)
         fresh = Tokenizer.from_file(path)
-        for t, ids in zip(texts, ChunkEncoder(path, keeps, width).encode(texts), strict=True):
-            assert np.frombuffer(ids, f"<u{width}").tolist() == fresh.encode(t, add_special_tokens=False).ids, t
+        ids, starts = ChunkEncoder(path, keeps).encode(pa.array(texts, pa.string()), 7)
+        for t, i, j in zip(texts, starts[:-1], starts[1:], strict=True):
+            assert ids[i:j].tolist() == [*fresh.encode(t or "", add_special_tokens=False).ids, 7], t
         if keeps:
             assert fresh.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+        assert ChunkEncoder(path, keeps).encode(pa.array([], pa.string()), 7)[1].tolist() == [0]
+
+
+def test_encoder_batches_do_not_matter(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from framewright.llm import encode
+
+    texts = pa.array([*TRICKY, *(prose(k, 200) for k in range(20)), "x" * 3000])
+    whole = encode.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), True).encode(texts, 7)
+    monkeypatch.setattr(encode, "BYTES", 500)
+    monkeypatch.setattr(encode, "JOINED", 7)
+    cut = encode.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"), True).encode(texts, 7)
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+
+
+def test_labelled_sample_is_bounded(spark):
+    from framewright.llm.common import labelled_sample
+
+    d = docs(spark, [(1, f"text {k}") for k in range(300)] + [(k, "x") for k in range(2, 40)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, toxic int")
+    rows = labelled_sample(d, labels, "toxic", 5).collect()
+    assert len(rows) == 10 and len({r.doc_id for r in rows}) == 10
 
 
 def test_token_files(spark, odd, empty):
