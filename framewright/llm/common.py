@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..workers import workers_find_package as workers_find_package
@@ -39,6 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """df, stored, with for each of `sums` its total over all rows before, by `order` (which tells all rows apart). Rows
+    are dealt to tasks by ranges of the order; only the tasks' totals, a row for each task, are summed up in one place."""
+    d = df.repartitionByRange(*order).withColumn("_task", F.spark_partition_id()).withColumns({f"_own_{k}": c for k, c in sums.items()})
+    d = stored(d, name)
+    within = Window.partitionBy("_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy("_task").agg(*[F.sum(f"_own_{k}").alias(f"_all_{k}") for k in sums])
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_task", *[F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in sums])
+    d = d.withColumns({k: F.coalesce(F.sum(f"_own_{k}").over(within), F.lit(0)) for k in sums}).join(totals, "_task")
+    return d.select(*df.columns, *[(F.col(k) + F.col(f"_base_{k}")).alias(k) for k in sums])
+
+
 def fenced(c: Column) -> Column:
     """c, which filters above it are not pushed through: else each mention of it in them would be worked out anew."""
     return F.when(F.spark_partition_id() >= 0, c)

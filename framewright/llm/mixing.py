@@ -1,11 +1,16 @@
 """Mixing sources to target weights (native).
 
 The words of each source, its documents in a fixed pseudorandom order, form a stream that is cut into blocks of
-BLOCK words. A source's target gives the slots that it fills: whole passes over its blocks, and for the rest of a
-pass the blocks that a pseudorandom permutation of its block numbers (a Feistel network over the exact range, so no
-table and no sort) sends the first slots to. A permutation of all slots deals them to output shards of SHARD slots;
-the counts of the sources in a shard are then multinomial draws given that all shards together hold what the
-targets ask for. Slots and blocks are joined by (source, block).
+BLOCK words. A source's target gives the slots that it fills. Output shards have SHARD slots each; the source of each
+slot is drawn on its own by the sources' shares, so that the counts of the sources in a shard are a multinomial draw.
+All shards together then ask for a little more of one source and less of another than the targets; a residual pass
+hands the slots that a source has too many to those that have too few. A source's slots, numbered through all shards,
+are mapped to its blocks: whole passes over them, and for the rest of a pass the blocks that a pseudorandom permutation
+of its block numbers (a Feistel network over the exact range, so no table and no sort) sends the first ones to. Slots
+and blocks are joined by (source, block).
+
+Any number of sources and any share of one: documents meet their source's figures by a salted join, and what is
+summed up over all sources or shards is summed by ranges first.
 
 Defined cases: a null text has no words; a null source is a source, the last; documents without words and sources
 without words take part with 0; repeated rows count each; an empty table gives an empty result.
@@ -16,15 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import n_words, running, stored
 
 BLOCK = 64
-SHARD = 65_536
-#: Documents in a bucket, over which word offsets are summed in one task.
-BUCKET = 20_000
-#: Sources up to which the table of sources is broadcast; beyond, it is joined by shuffle.
-FEW_SOURCES = 50_000
+#: Slots of an output shard.
+SHARD = 1024
+#: Documents in a bucket, over which word offsets are summed in one task; shards likewise.
+BUCKET, SHARDS = 20_000, 4096
+#: Parts of a source in the join of documents with sources; slots in one row of the table that draws look sources up in.
+SALT, CHUNK = 64, 4096
 WEIGHTS = (5, 2, 1)
+SEED = 20240607
 
 
 def permute(df: DataFrame, out: str, i: Column, n: Column, seed: Column) -> DataFrame:
@@ -64,49 +71,96 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     Sharing an excess again by weight until no target is above its cap is filling to a level: with sources by
     cap / weight ascending, those before the first whose cap / weight reaches the level stay at their caps."""
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    s = s.withColumn("src", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
+    s = running(s, [F.col("source").asc_nulls_last()], {"src": F.lit(1)}, "mix-sources").withColumn("src", F.col("src").cast("long") + 1)
     s = s.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("src") - 1) % len(WEIGHTS) + 1).cast("int")))
     s = s.withColumn("_cap", most * F.col("source_size")).withColumn("_q", F.col("_cap") / F.col("_w"))
-    every, before = Window.partitionBy(), Window.orderBy("_q", "src").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({
-        "_level": (share * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))),
-    })
-    whole = Window.orderBy("_q", "src").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("_level", F.first(F.when(F.col("_level") <= F.col("_q"), F.col("_level")), ignorenulls=True).over(whole))
-    return s.select("source", "src", "source_size", "n_docs", F.least(F.col("_cap"), F.coalesce("_level", F.lit(0.0)) * F.col("_w")).alias("target"))
-
-
-def mixed(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """(placed, pieces). placed: a row for each document, with src, bucket and rn, its key here, size, source_size
-    and target. pieces: a row for each stretch of a document that a slot takes: the key, pass, shard, and the
-    document's words from .. to (after `from`, up to `to`). keys: columns of docs that placed keeps and orders by."""
-    sized = stored(docs.select(*keys, "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_h")), "mix-sizes")
-    sources = stored(source_targets(sized), "mix-sources")
-    few, n_docs = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    per = sources.withColumnRenamed("source", "_source")
-    placed = sized.join(F.broadcast(per) if few <= FEW_SOURCES else per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(*keys, "_h"), F.lit(n_docs // BUCKET + 1)))
-    by = Window.partitionBy("src", "bucket").orderBy(*keys, "_h")
+    s = running(s, [F.col("_q").asc(), F.col("src").asc()], {"_caps": F.col("_cap"), "_ws": F.col("_w")}, "mix-levels")
+    total = s.agg(F.sum("source_size").alias("_size"), F.sum("_w").alias("_weight"))
+    level = (share * F.col("_size") - F.col("_caps")) / (F.col("_weight") - F.col("_ws"))
+    s = s.join(F.broadcast(total)).withColumn("_level", level)  # total is one row
+    first = s.filter(F.col("_level") <= F.col("_q")).agg(F.coalesce(F.min_by("_level", F.struct("_q", "src")), F.lit(0.0)).alias("_first"))
+    return s.join(F.broadcast(first)).select("source", "src", "source_size", "n_docs", F.least(F.col("_cap"), F.col("_first") * F.col("_w")).alias("target"))
+
+
+def source_slots(sources: DataFrame) -> DataFrame:
+    """src, source_size, n (blocks), passes, rest (words beyond whole passes), slots, first (slots of the sources before):
+    passes * n slots for the whole passes, then enough for the rest; all but the last block hold BLOCK words."""
+    s = sources.filter("source_size > 0").select("src", "source_size", F.round("target").cast("long").alias("_words"))
+    s = s.withColumn("n", F.ceil(F.col("source_size") / BLOCK)).withColumn("passes", F.floor(F.col("_words") / F.col("source_size")))
+    s = s.withColumn("rest", F.col("_words") - F.col("passes") * F.col("source_size"))
+    s = s.withColumn("slots", F.col("passes") * F.col("n") + F.ceil(F.col("rest") / BLOCK)).filter("slots > 0").drop("_words")
+    return running(s, [F.col("src").asc()], {"first": F.col("slots")}, "mix-slots")
+
+
+def shard_draws(slots: DataFrame, shard: int = SHARD) -> DataFrame:
+    """src, shard, n: how many slots of each shard fall to each source, drawn slot by slot by the sources' shares of all
+    slots. slots: source_slots()."""
+    spark = slots.sparkSession
+    total = slots.agg(F.coalesce(F.max(F.col("first") + F.col("slots")), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20)
+    x = F.pmod(F.xxhash64("id", F.lit(SEED).cast("long")), F.lit(max(1, total)))
+    draws = spark.range(0, total, 1, tasks).select(F.floor(F.col("id") / shard).alias("shard"), x.alias("_x")).withColumn("_chunk", F.floor(F.col("_x") / CHUNK))
+    last = F.col("first") + F.col("slots")
+    table = slots.select("src", "first", last.alias("_end"), F.explode(F.sequence(F.floor(F.col("first") / CHUNK), F.floor((last - 1) / CHUNK))).alias("_chunk"))
+    return draws.join(table, "_chunk").filter((F.col("_x") >= F.col("first")) & (F.col("_x") < F.col("_end"))).groupBy("src", "shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slots_of_shards(slots: DataFrame, draws: DataFrame) -> DataFrame:
+    """src, k (0 .. slots - 1), shard: each slot of each source once. draws: shard_draws(), stored."""
+    group = F.floor(F.col("shard") / SHARDS)
+    d = draws.withColumn("_g", group)
+    base = d.groupBy("src", "_g").agg(F.sum("n").alias("_sum"))
+    base = base.select("src", "_g", (F.sum("_sum").over(Window.partitionBy("src").orderBy("_g")) - F.col("_sum")).alias("_base"))
+    d = d.withColumn("_upto", F.sum("n").over(Window.partitionBy("src", "_g").orderBy("shard"))).join(base, ["src", "_g"])
+    d = d.select("src", "shard", (F.col("_base") + F.col("_upto") - F.col("n")).alias("_a"), (F.col("_base") + F.col("_upto")).alias("_b")).join(slots.select("src", "slots"), "src")
+    own = d.filter(F.col("_a") < F.col("slots")).select("src", "shard", F.col("_a"), F.least("_b", "slots").alias("_b"))
+
+    # The residual pass: slots that a source has too many, and those that another lacks, each numbered through.
+    drawn = draws.groupBy("src").agg(F.sum("n").alias("_drawn"))
+    s = slots.select("src", "slots").join(drawn, "src", "left").withColumn("_drawn", F.coalesce("_drawn", F.lit(0)))
+    more, less = F.greatest(F.lit(0), F.col("_drawn") - F.col("slots")), F.greatest(F.lit(0), F.col("slots") - F.col("_drawn"))
+    s = running(s, [F.col("src").asc()], {"_more": more, "_less": less}, "mix-residual")
+    vacant = d.filter(F.col("_b") > F.col("slots")).join(s.select("src", "_more"), "src").withColumn("_from", F.greatest("_a", "slots"))
+    vacant = vacant.select("shard", F.explode(F.sequence(F.col("_more") + F.col("_from") - F.col("slots"), F.col("_more") + F.col("_b") - F.col("slots") - 1)).alias("_e"))
+    lacking = s.filter(F.col("slots") > F.col("_drawn")).select("src", F.col("_drawn"), F.col("_less"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - F.col("_drawn") - 1)).alias("_i"))
+    filled = lacking.select("src", (F.col("_drawn") + F.col("_i")).alias("k"), (F.col("_less") + F.col("_i")).alias("_e")).join(vacant, "_e").select("src", "k", "shard")
+    # A number of partitions that is given is kept: rows are few and small before they are exploded.
+    tasks = int(slots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = own.repartition(tasks, "src", "shard").select("src", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1)).alias("k"), "shard")
+    return own.unionByName(filled)
+
+
+def mixed(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """(placed, pieces). placed: a row for each row of docs, with src, bucket and rn, its key here, `keys`, size,
+    source_size and target. pieces: a row for each stretch of a document that a slot takes: the key, pass, shard, and
+    the document's words from .. to (after `from`, up to `to`). keys: columns of docs that placed keeps and orders by."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    sized = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keys, names, strict=True)], "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_h"))
+    # Equal rows are counted, then told apart by number, so that no task has to hold all copies of one.
+    sized = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_n"))
+    sized = stored(sized.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")).drop("_n"), "mix-sizes")
+    sources = stored(source_targets(sized), "mix-targets")
+    n_docs = sources.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    salt = F.pmod(F.xxhash64(*names, "_h", "_copy"), F.lit(SALT))
+    per = sources.withColumnRenamed("source", "_source").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    placed = sized.withColumn("_salt2", salt).join(per, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt2"))).drop("_source", "_salt", "_salt2")
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(*names, "_h", "_copy", F.lit(SEED)), F.lit(n_docs // BUCKET + 1)))
+    by = Window.partitionBy("src", "bucket").orderBy(*names, "_h", "_copy")
     placed = placed.withColumns({"rn": F.row_number().over(by), "_end": F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))})
-    placed = stored(placed, "mix-placed")
+    placed = stored(placed.select(*[F.col(n).alias(c) for c, n in zip(keys, names, strict=True)], "size", "src", "source_size", "target", "bucket", "rn", "_end"), "mix-placed")
     base = placed.groupBy("src", "bucket").agg(F.sum("size").alias("_sum"))
     base = base.withColumn("_base", F.sum("_sum").over(Window.partitionBy("src").orderBy("bucket")) - F.col("_sum")).drop("_sum")
 
     blocks = placed.filter("size > 0").hint("merge").join(base, ["src", "bucket"]).select("src", "bucket", "rn", (F.col("_base") + F.col("_end") - F.col("size")).alias("_a"), (F.col("_base") + F.col("_end")).alias("_b"))
     blocks = blocks.select("*", F.explode(F.sequence(F.floor(F.col("_a") / BLOCK), F.floor((F.col("_b") - 1) / BLOCK))).alias("block"))
 
-    # Slots: passes * blocks for the whole passes, then enough for the rest; all but the last block hold BLOCK words.
-    s = sources.filter("source_size > 0").withColumn("_words", F.round("target").cast("long"))
-    s = s.withColumn("_n", F.ceil(F.col("source_size") / BLOCK)).withColumn("_passes", F.floor(F.col("_words") / F.col("source_size")))
-    s = s.withColumn("_rest", F.col("_words") - F.col("_passes") * F.col("source_size")).withColumn("_slots", F.col("_passes") * F.col("_n") + F.ceil(F.col("_rest") / BLOCK))
-    s = s.withColumns({"_all": F.sum("_slots").over(Window.partitionBy()), "_first": F.sum("_slots").over(Window.orderBy("src")) - F.col("_slots")}).filter("_slots > 0")
-    chunk = 4096
-    slots = s.select("src", "source_size", "_n", "_passes", "_rest", "_slots", "_all", "_first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / chunk))).alias("_c"))
-    slots = slots.repartition("src", "_c").select("*", F.explode(F.sequence(F.col("_c") * chunk, F.least((F.col("_c") + 1) * chunk, F.col("_slots")) - 1)).alias("_k"))
-    slots = slots.withColumns({"pass": F.floor(F.col("_k") / F.col("_n")), "_j": F.col("_k") % F.col("_n"), "_full": F.col("_n") - 1})
+    by_source = source_slots(sources)
+    slots = slots_of_shards(by_source, stored(shard_draws(by_source, shard), "mix-draws"))
+    figures = by_source.select("src", "n", "passes", "rest").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    slots = slots.withColumn("_salt", F.col("shard") % SALT).join(figures, ["src", "_salt"])
+    slots = slots.withColumns({"pass": F.floor(F.col("k") / F.col("n")), "_j": F.col("k") % F.col("n"), "_full": F.col("n") - 1})
     slots = permute(slots, "block", F.col("_j"), F.col("_full"), F.col("src")).withColumn("block", F.when(F.col("_j") < F.col("_full"), F.col("block")).otherwise(F.col("_full")))
-    slots = slots.withColumn("_take", F.when(F.col("pass") < F.col("_passes"), F.lit(BLOCK)).otherwise(F.least(F.lit(BLOCK), F.col("_rest") - F.col("_j") * BLOCK)))
-    slots = permute(slots, "shard", F.col("_first") + F.col("_k"), F.col("_all"), F.lit(-1)).withColumn("shard", F.floor(F.col("shard") / SHARD))
+    slots = slots.withColumn("_take", F.when(F.col("pass") < F.col("passes"), F.lit(BLOCK)).otherwise(F.least(F.lit(BLOCK), F.col("rest") - F.col("_j") * BLOCK)))
 
     # Both sides grow with the data once exploded, which the planner can't see from the sizes before: no broadcast.
     pieces = blocks.hint("merge").join(slots.select("src", "block", "pass", "shard", "_take").hint("merge"), ["src", "block"])
@@ -126,12 +180,18 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, with the columns of documents: a row for each document and pass that takes words of it, its
     text the words taken (verbatim if that is all of them), n_chars its length."""
-    keyed = docs.withColumn("_h2", F.xxhash64(*docs.columns))
-    keyed = keyed.withColumn("_no", F.row_number().over(Window.partitionBy("_h2").orderBy("doc_id")))
-    placed, pieces = mixed(keyed, ("doc_id", "_h2", "_no"))
+    own = {c: c if c in ("text", "source", "doc_id") else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    d = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    # A row's 128-bit key; equal rows share one, and the text that goes with it is the same.
+    keyed = d.withColumns({"_h1": F.xxhash64(*d.columns), "_h2": F.xxhash64(F.lit(SEED), *d.columns)})
+    placed, pieces = mixed(keyed, ("doc_id", "_h1", "_h2"))
     ranges = pieces.groupBy("src", "bucket", "rn", "pass").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_ranges"), F.sum(F.col("to") - F.col("from")).alias("_taken"))
-    taken = placed.select("src", "bucket", "rn", "_h2", "_no", "size").join(ranges, ["src", "bucket", "rn"]).select("_h2", "_no", "size", "pass", "_ranges", "_taken")
-    out = keyed.join(taken, ["_h2", "_no"]).withColumn("_words", F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
+    taken = placed.select("src", "bucket", "rn", "_h1", "_h2", "size").join(ranges, ["src", "bucket", "rn"])
+    taken = taken.select("_h1", "_h2", F.when(F.col("_taken") < F.col("size"), F.col("_ranges")).alias("_ranges"))
+    out = keyed.dropDuplicates(["_h1", "_h2"]).join(taken, ["_h1", "_h2"])
+    out = out.withColumn("_words", F.when(F.col("_ranges").isNotNull(), F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")))
     part = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(F.col("_words"), (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
-    out = out.withColumn("text", F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(part)).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    out = out.withColumn("text", F.coalesce(part, "text"))
+    if "n_chars" in own:
+        out = out.withColumn(own["n_chars"], F.length("text").cast("long"))
+    return out.select(*[F.col(a).alias(c) for c, a in own.items()])

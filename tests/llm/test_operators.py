@@ -136,6 +136,68 @@ def test_mixing(spark, odd, empty):
     assert mix(odd).count() == len(ODD) and mix(empty).count() == 0 and mixed_documents(empty).count() == 0
 
 
+def test_shard_draws_are_multinomial(spark):
+    import struct
+
+    import xxhash
+
+    from framewright.llm import mixing as M
+    from framewright.llm.common import stored
+
+    # Seven sources of very different sizes, 400 shards of 16 slots: each slot's source by brute force.
+    sizes = {1: 90_000, 2: 200_000, 3: 64, 4: 7_001, 5: 40_000, 6: 1, 7: 60_000}
+    sources = spark.createDataFrame([(None, s, n, 1, 1.0 * n) for s, n in sizes.items()], "source string, src long, source_size long, n_docs long, target double")
+    slots = M.source_slots(sources)
+    rows = sorted(slots.collect(), key=lambda r: r.src)
+    assert [r.slots for r in rows] == [-(-n // 64) for n in sizes.values()] and [r.first for r in rows] == [sum(r.slots for r in rows[:i]) for i in range(7)]
+    total = sum(r.slots for r in rows)
+    draws = stored(M.shard_draws(slots, 16), "draws")
+    got = {(r.shard, r.src): r.n for r in draws.collect()}
+    want = collections.Counter()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    for i in range(total):
+        h = xxhash.xxh64_intdigest(struct.pack("<q", M.SEED), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))
+        x = signed(h) % total
+        want[i // 16, next(r.src for r in reversed(rows) if r.first <= x)] += 1
+    assert got == want
+    per = collections.Counter()
+    for (shard, _), n in got.items():
+        per[shard] += n
+    assert len(per) == -(-total // 16) and all(n == 16 for k, n in per.items() if k < total // 16)
+    # Counts of a source vary from shard to shard as binomial ones do.
+    for r in rows:
+        p = r.slots / total
+        n = np.array([got.get((k, r.src), 0) for k in range(total // 16)])
+        assert abs(n.mean() - 16 * p) < 5 * np.sqrt(16 * p * (1 - p) / len(n))
+        if r.slots >= 100:  # a source of one slot is drawn too seldom to have a variance
+            assert 0.7 < n.var() / (16 * p * (1 - p)) < 1.4
+    # After the residual pass each slot of each source has one shard, and shards keep their sizes.
+    placed = M.slots_of_shards(slots, draws).collect()
+    assert sorted((r.src, r.k) for r in placed) == [(r.src, k) for r in rows for k in range(r.slots)]
+    assert collections.Counter(r.shard for r in placed) == per
+
+
+def test_mixing_repeated_rows_and_clashing_columns(spark):
+    from framewright.llm.mixing import mix, mixed_documents
+
+    # One row repeated until it is a third of the table; two ids with one text; a column for every helper's name.
+    rows = [(1, prose(1, 100), "a")] * 30 + [(2, prose(1, 100), "a")] + [(i, prose(i, 30), "bc"[i % 2]) for i in range(3, 60)]
+    d = docs(spark, rows).withColumns({c: F.lit(7) for c in ("size", "pass", "src", "bucket", "rn", "_h1", "_own_3", "shard", "from", "target", "_words", "_ranges")})
+    out = mix(d).collect()
+    assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows) and all(r.taken <= 2 * r.size for r in out)
+    mixed = mixed_documents(d)
+    assert mixed.columns == d.columns
+    got, words = mixed.collect(), collections.Counter()
+    assert all(r["size"] == 7 and r["_ranges"] == 7 and r.n_chars == len(r.text) for r in got)
+    for r in got:
+        words[r.doc_id] += len(r.text.split())
+    want = collections.Counter()
+    for r in out:
+        want[r.doc_id] += r.taken
+    assert words == +want
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixed_documents(d.repartition(5)).collect()))
+
+
 def test_permutation(spark):
     from framewright.llm.mixing import permute
 
