@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, stored, workers_find_package
+from .common import held_out, stored, tidied, workers_find_package
 
 #: Most frequent words that are units; classes of the others; vector length.
 WORDS, CLASSES, SIZE = 768, 255, 24
@@ -62,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             seen[END.encode()] = ends
             yield out(seen)
 
-    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(tidied(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class _Ids(dict):
@@ -95,7 +95,7 @@ def pair_counts(docs: DataFrame, units: dict[bytes, int]) -> np.ndarray:
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["pair", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(tidied(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(UNITS * UNITS, np.float64)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(UNITS, UNITS)
@@ -186,7 +186,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest", "times"])
 
-    scored = docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rest array<string>, times array<long>")
+    scored = docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(tidied(run), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rest array<string>, times array<long>")
     # Words beyond the head: their counts come by a join, and add up for each row. 0.1 where a word has none.
     scored = stored(scored.withColumn("_row", F.monotonically_increasing_id()), "lm-scored")
     rest = scored.filter(F.size("rest") > 0).select("_row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("_row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))

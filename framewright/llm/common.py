@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +44,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy() -> None:
+    """Hands memory that is no longer used back to the system: worker processes are kept from task to task, and what
+    one stage needed would else stay beside what the next one does."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """A function for mapInArrow that is tidy() after its last batch."""
+
+    def all_(batches):
+        yield from run(batches)
+        tidy()
+
+    return all_
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
     """df, stored, with for each of `sums` its total over all rows before, by `order` (which tells all rows apart). Rows
     are dealt to tasks by ranges of the order; only the tasks' totals, a row for each task, are summed up in one place."""

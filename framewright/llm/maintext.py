@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_find_package
+from .common import tidied, workers_find_package
 
 # Fixed values of HTML: elements that end a block, elements whose inside is no text of the page.
 BLOCKS = frozenset(
@@ -224,4 +224,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [extract(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")

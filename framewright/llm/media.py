@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_find_package
+from .common import tidied, workers_find_package
 
 # Fixed values of the format: kbit/s by bitrate index of Layer III, and samples a second by rate index, for MPEG 1 and 2.
 BITRATES = {1: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], 2: [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]}
@@ -159,7 +159,7 @@ def encoded(docs: DataFrame) -> DataFrame:
                 media = pa.array([mpeg_stored(p) for _, p in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), media], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "doc_id long, n_bytes long, media binary")
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, n_frames long, seek_offsets array<long>"
@@ -183,4 +183,4 @@ def probed(media: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return media.mapInArrow(run, SCHEMA)
+    return media.mapInArrow(tidied(run), SCHEMA)

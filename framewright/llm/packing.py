@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_find_package
+from .common import tidied, workers_find_package
 from .encode import encoder
 
 LENGTH = 4096
@@ -97,4 +97,4 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, group: int = G
         if ids:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), SCHEMA)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, workers_find_package
+from .common import new_path, tidied, workers_find_package
 from .encode import encoder
 
 END = 0
@@ -38,7 +38,7 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, stripe_mb: int = 16) -
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
-    rows = ordered.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>, n_tokens long, before long")
+    rows = ordered.select("doc_id", "text").mapInArrow(tidied(encode), "doc_id long, ids array<int>, n_tokens long, before long")
     options = {"orc.stripe.size": str(stripe_mb << 20), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
     rows.write.options(**options).orc(path)
 
@@ -82,5 +82,5 @@ def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_part"), b.column("before"), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "_part", "before", "n_tokens", "ids_crc32"])
 
     # First the digests, a few numbers for each document; no ids are shuffled to learn where their file begins.
-    rows = rows_of(spark, path).select("doc_id", "_part", "before", "ids").mapInArrow(digest, "doc_id long, _part long, before long, n_tokens long, ids_crc32 long")
+    rows = rows_of(spark, path).select("doc_id", "_part", "before", "ids").mapInArrow(tidied(digest), "doc_id long, _part long, before long, n_tokens long, ids_crc32 long")
     return with_start(rows, path).select("doc_id", "start", "n_tokens", "ids_crc32")
