@@ -1,16 +1,22 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Shingles are five consecutive words (ASCII letters in lower case; all words of a shorter text). A shingle weighs its
-count in the text times an inverse document frequency, which comes from all documents through a count sketch of
-CELLS cells, so that its size has a bound. Equal texts are one node. BANDS * ROWS consistent weighted samples give
-each node a key in every band; two texts of similarity 0.8 share a key with probability 1 - (1 - 0.8^4)^16 > 0.9997.
+count in the text times an inverse document frequency, 1 + log((1 + n) / (1 + df)) / log(1 + n), which halves towards
+shingles that all documents share; rare and common words of a text differ, but no edit outweighs a whole text. df comes
+from all documents through a sketch of CELLS cells. It does not count documents but their distinct least shingles, so
+that a text's copies, exact or near, count about once and do not take the weight from what they share. It is rounded to
+powers of two, so weights take few values.
+
+Equal texts are one node. BANDS * ROWS consistent weighted samples give each node a key in every band; two texts of
+similarity 0.8 share a key with probability 1 - (1 - 0.8^4)^16 > 0.9997.
 
 Nodes with a key in common are candidates. Comparing each with one pivot of its bucket takes a pair for each node,
 not all pairs. By the triangle inequality of the weighted Jaccard distance, two nodes of a bucket can only be similar
 if their distances to the pivot differ by 0.2 at most; so what a pivot leaves open is: nodes that missed it by no
 more than that against nodes that met it, and the nodes that missed it among themselves, which get a pivot of their
 own, and so on; after PIVOTS rounds what is left is compared in full, save pairs that cannot be similar: shingles
-that no other text left has are out of any overlap, and by residues of hashes the lesser weight bounds the rest.
+that no other text left has are out of any overlap, and by residues of hashes the lesser weight bounds the rest. For
+that, a bucket is cut into squares of LOT by LOT nodes, each a task's business of its own, so no bucket is one task's.
 Pairs whose nodes are connected already are skipped. Similarities are exact, from whole texts. Classes are connected components of the links.
 
 Defined cases: documents without words (null, empty or blank texts) are each a class of their own; rows with equal
@@ -21,48 +27,39 @@ of a class are null; an empty table gives an empty result; other columns are lef
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, workers_find_package
+from .common import SPACES, stored, tidied, tidy, workers_find_package
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 CELLS = 1 << 18
+#: Bits by which a cell tells how many least shingles it has seen: so many words of 32.
+WORDS = 8
 #: Rows of the table of random numbers for consistent sampling; a shingle uses the row that its hash names.
-RANDOM_ROWS = 1 << 15
+RANDOM_ROWS = 1 << 14
+#: Weights for which the sampling of all rows is worked out beforehand.
+LEVELS = 4
 PIVOTS = 2
-#: Rounds in which close misses meet another node of each bucket.
+#: Other nodes of each bucket that close misses meet.
 MEETINGS = 3
-#: Comparisons with one pivot that share a copy of its text.
-SALT = 256
-MOST_WORDS = 500_000
+#: Comparisons with one pivot that share a copy of its text; nodes on a side of a square of a bucket.
+SALT, LOT = 256, 256
 #: Residues of hashes by which the weight that texts can share is bounded.
 PARTS = 64
-#: Share of all documents up to which a shingle counts as rare; all rare ones have the same inverse frequency, so that
-#: only common passages weigh less, and copies in a large group are not set apart by the few words in which they differ.
-RARE = 0.05
+#: Texts that are split into words together.
+TEXTS = 500
 
 U = np.uint64
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -70,17 +67,35 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def shingles_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(sorted 64-bit hashes, counts) of each text's shingles. Words are split and told apart by Arrow, and each distinct
+    word of TEXTS texts is hashed once."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    for at in range(0, len(texts), TEXTS):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, TEXTS)))
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        number = np.fromiter(map(xxhash.xxh64_intdigest, names), U, len(names))
+        words, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        if "" in names:  # before the first word, or after the last
+            real = words != names.index("")
+            bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+            words = words[real]
+        words = number[words]
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if i == j:
+                yield np.empty(0, U), np.empty(0, np.int64)
+                continue
+            n = max(1, j - i - SHINGLE + 1)
+            h = np.zeros(n, U)
+            for k in range(min(SHINGLE, j - i)):
+                h = _mixed(h * U(0x9E3779B97F4A7C15) + words[i + k : i + k + n])
+            yield np.unique(h, return_counts=True)
+
+
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted 64-bit hashes, counts) of the text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, U), np.empty(0, np.int64)
-    w = np.fromiter(map(_hashes.__getitem__, words), U, len(words))
-    n = max(1, len(w) - SHINGLE + 1)
-    h = np.zeros(n, U)
-    for k in range(min(SHINGLE, len(w))):
-        h = _mixed(h * U(0x9E3779B97F4A7C15) + w[k : k + n])
-    return np.unique(h, return_counts=True)
+    return next(shingles_of(pa.array([text], pa.string())))
 
 
 def weights(counts: np.ndarray, hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -108,71 +123,117 @@ def _randoms() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r.astype(np.float32), beta.astype(np.float32), (np.log(c) - r * (1 - beta)).astype(np.float32)
 
 
-def band_keys(hashes: np.ndarray, w: np.ndarray) -> list[int]:
-    """BANDS keys of a document. Each sample picks the shingle of least c / (y * e^r), where
-    y = e^(r * (t - beta)) and t = floor(log(weight) / r + beta), and consists of the shingle and t."""
-    r, beta, base = _randoms()
-    log = np.log(w).astype(np.float32)[:, None]
-    best, pick, level = None, None, None
-    for s in range(0, len(hashes), 2048):  # long texts, part by part
-        row = ((hashes[s : s + 2048] >> U(20)) & U(RANDOM_ROWS - 1)).astype(np.int64)
-        rr = r[row]
-        t = np.floor(log[s : s + 2048] / rr + beta[row])
-        a = base[row] - rr * t
-        i = a.argmin(0)
-        k = np.arange(a.shape[1])
-        if best is None:
-            best, pick, level = a[i, k], hashes[s + i], t[i, k]
-        else:
-            less = a[i, k] < best
-            best, pick, level = np.where(less, a[i, k], best), np.where(less, hashes[s + i], pick), np.where(less, t[i, k], level)
-    sample = _mixed(pick ^ _mixed(level.astype(np.int64).astype(U))).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=U)
-    for k in range(ROWS):
-        key = _mixed(key * U(0x9E3779B97F4A7C15) + sample[:, k])
-    return key.astype(np.int64).tolist()
-
-
-def idf_of(n: int, df: np.ndarray) -> np.ndarray:
-    """log(1 + n / (1 + df)), and no more than for a share of RARE."""
-    return np.minimum(np.log1p(n / (1 + df)), np.log1p(1 / RARE)).astype(np.float32)
+def _sampled(row: np.ndarray | slice, w: np.ndarray) -> np.ndarray:
+    """log of c / (y * e^r) of shingles in these rows, with y = e^(r * (t - beta)), t = floor(log(weight) / r + beta)."""
+    r, beta, base = (x[row] for x in _randoms())
+    return base - r * np.floor(np.log(w).astype(np.float32)[:, None] / r + beta)
+
+
+class Sampler:
+    """Consistent weighted samples of documents under inverse frequencies. The weights that most cells have, for
+    shingles that occur once, have their samples worked out for all rows; results do not depend on which these are."""
+
+    def __init__(self, idf: np.ndarray):
+        values, number, times = np.unique(idf, return_inverse=True, return_counts=True)
+        common = np.argsort(-times, kind="stable")[:LEVELS]
+        level = np.full(len(values), -1)
+        level[common] = np.arange(len(common))
+        self.level = level[number].astype(np.int8)
+        self.known = np.concatenate([_sampled(slice(None), np.full(RANDOM_ROWS, values[v])) for v in common])
+
+    def band_keys(self, hashes: np.ndarray, counts: np.ndarray, w: np.ndarray) -> list[int]:
+        """BANDS keys of a document. Each sample picks the shingle of least _sampled() and consists of it and its t."""
+        k = np.arange(BANDS * ROWS)
+        best, pick = np.full(len(k), np.inf, np.float32), np.zeros(len(k), np.int64)
+        row = ((hashes >> U(20)) & U(RANDOM_ROWS - 1)).astype(np.int64)
+        level = np.where(counts == 1, self.level[hashes & U(CELLS - 1)], -1).astype(np.int64)
+        for own, which in ((False, np.flatnonzero(level >= 0)), (True, np.flatnonzero(level < 0))):
+            for s in range(0, len(which), 2048):  # long texts, part by part
+                at = which[s : s + 2048]
+                a = _sampled(row[at], w[at]) if own else self.known[level[at] * RANDOM_ROWS + row[at]]
+                i = a.argmin(0)
+                least = a[i, k]
+                # Of equal ones the smallest hash, whichever part it is in.
+                less = (least < best) | ((least == best) & (at[i] < pick))
+                best, pick = np.where(less, least, best), np.where(less, at[i], pick)
+        r, beta, _ = _randoms()
+        t = np.floor(np.log(w[pick]).astype(np.float32) / r[row[pick], k] + beta[row[pick], k])
+        sample = _mixed(hashes[pick] ^ _mixed(t.astype(np.int64).astype(U))).reshape(BANDS, ROWS)
+        key = np.arange(BANDS, dtype=U)
+        for m in range(ROWS):
+            key = _mixed(key * U(0x9E3779B97F4A7C15) + sample[:, m])
+        return key.astype(np.int64).tolist()
+
+
+def _bit(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bit) of a sketch that a least shingle sets; a bit is half as likely as the one before."""
+    h = _mixed(least ^ U(0x5BF03635))
+    low = h >> U(3)
+    level = np.minimum(31, np.log2((low & (~low + U(1))).astype(float) + (low == 0)).astype(np.int64))
+    return (h & U(WORDS - 1)).astype(np.int64), np.uint32(1) << level.astype(np.uint32)
+
+
+def distinct_of(sketch: np.ndarray) -> np.ndarray:
+    """Distinct numbers that rows of WORDS words have seen, by their set bits: n for which so many are expected."""
+    n = 2 ** np.arange(0, 38, 0.125)
+    share = 0.5 ** np.minimum(np.arange(1, 33), 31) / WORDS
+    expected = WORDS * (1 - (1 - share[None, :]) ** n[:, None]).sum(1)
+    return np.interp(np.bitwise_count(sketch).sum(1), [0, *expected], [0, *n])
+
+
+def idf_of(n: float, df: np.ndarray) -> np.ndarray:
+    """1 + log((1 + n) / (1 + df)) / log(1 + n), with df in powers of two: 2 for the rarest, 1 for what all have."""
+    df = np.minimum(n, 2 ** np.round(np.log2(np.maximum(df, 1))))
+    return (1 + np.log((1 + n) / (1 + df)) / np.log(1 + max(n, 1))).astype(np.float32)
+
+
+def sketched(texts: pa.Array, table: np.ndarray, every: np.ndarray) -> None:
+    """Enters texts into a table of CELLS sketches, and into that of all."""
+    for h, _ in shingles_of(texts):
+        if len(h):
+            word, bit = _bit(h[:1])
+            table[(h & U(CELLS - 1)).astype(np.int64), word[0]] |= bit[0]
+            every[word[0]] |= bit[0]
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """idf_of() for each cell of the sketch, over all documents. CELLS rows at most
-    reach the driver. Rare shingles share cells with others, alike at any size of input; common ones stand out."""
+    """idf_of() for each cell of the sketch, over all documents. CELLS rows at most reach the driver. Rare shingles share
+    cells with others, alike at any size of input; common ones stand out."""
 
     def run(batches):
-        n, docs_seen = np.zeros(CELLS, np.int64), 0
+        table, every = np.zeros((CELLS, WORDS), np.uint32), np.zeros(WORDS, np.uint32)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                docs_seen += 1
-                cells = np.unique(shingles(t)[0] & U(CELLS - 1)).astype(np.int64)
-                n[cells] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], docs_seen))], names=["cell", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
-    total = int(n[cell < 0].sum())
+            sketched(b.column("text"), table, every)
+        at = np.flatnonzero(table.any(1))
+        rows = np.concatenate([table[at], every[None]]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), *(pa.array(rows[:, k].copy()) for k in range(WORDS // 2))], names=["cell", *names])
+
+    names = [f"s{k}" for k in range(WORDS // 2)]
+    rows = docs.select("text").mapInArrow(tidied(run), ", ".join(["cell long", *(f"{n} long" for n in names)])).groupBy("cell").agg(*[F.bit_or(n).alias(n) for n in names]).toArrow()
+    cell = rows["cell"].to_numpy()
+    seen = np.column_stack([rows[n].to_numpy() for n in names]).astype(np.int64).view(np.uint32)
+    count = distinct_of(seen)
     df = np.zeros(CELLS)
-    df[cell[cell >= 0]] = n[cell >= 0]
-    return idf_of(total, df)
+    df[cell[cell >= 0]] = count[cell >= 0]
+    n = float(count[cell < 0].sum())
+    del rows, seen
+    tidy()
+    return idf_of(n, df)
 
 
 def signatures(docs: DataFrame, idf) -> DataFrame:
     """doc_id, h (md5 of the text, null if it has no words), bands. idf: a broadcast of inverse_frequencies()."""
 
     def run(batches):
+        sampler = None
         for b in batches:
-            hs, bands = [], []
-            for t in b.column("text").to_pylist():
-                h, n = shingles(t)
-                hs.append(hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() if len(h) else None)
-                bands.append(band_keys(h, weights(n, h, idf.value)) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "bands"])
+            sampler = sampler or Sampler(idf.value)
+            bands = [sampler.band_keys(h, n, weights(n, h, idf.value)) if len(h) else None for h, n in shingles_of(b.column("text"))]
+            bands = pa.array(bands, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.if_else(bands.is_valid(), b.column("h"), pa.scalar(None, pa.binary())), bands], names=["doc_id", "h", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, h binary, bands array<long>")
+    md5 = F.unhex(F.md5(F.col("text").cast("binary")))
+    return docs.select(F.col("doc_id").cast("long"), md5.alias("h"), "text").mapInArrow(tidied(run), "doc_id long, h binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
@@ -183,8 +244,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
         pivot, own = None, None
         for b in batches:
             out = []
-            for p, a, text in zip(*(b.column(k).to_pylist() for k in ("pivot", "a", "text")), strict=True):
-                h, n = shingles(text)
+            for p, a, (h, n) in zip(b.column("pivot").to_pylist(), b.column("a").to_pylist(), shingles_of(b.column("text")), strict=True):
                 vector = (h, weights(n, h, idf.value).astype(np.float64))
                 if a is None:
                     pivot, own = p, vector
@@ -198,7 +258,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     members = pairs.join(lots, "pivot").withColumn("lot", F.pmod(F.xxhash64("a"), F.col("lots"))).join(texts.withColumnRenamed("nid", "a"), "a").select("pivot", "lot", "a", "text")
     pivots = lots.join(texts.withColumnRenamed("nid", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(None).cast("long").alias("a"), "text")
     rows = members.unionByName(pivots).repartition("pivot", "lot").sortWithinPartitions("pivot", "lot", F.col("a").asc_nulls_first())
-    return stored(rows.select("pivot", "a", "text").mapInArrow(run, "a long, pivot long, sim double"), "near-verified")
+    return stored(rows.select("pivot", "a", "text").mapInArrow(tidied(run), "a long, pivot long, sim double"), "near-verified")
 
 
 def _near_miss() -> Column:
@@ -218,12 +278,11 @@ def shareable(texts: DataFrame, idf) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for nid, text in zip(*(b.column(k).to_pylist() for k in ("nid", "text")), strict=True):
-                h, n = shingles(text)
+            for nid, (h, n) in zip(b.column("nid").to_pylist(), shingles_of(b.column("text")), strict=True):
                 w = weights(n, h, idf.value).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), nid)), pa.array(h.astype(np.int64)), pa.array(w)], names=["nid", "h", "w"])
 
-    rows = texts.select("nid", "text").mapInArrow(run, "nid long, h long, w double")
+    rows = texts.select("nid", "text").mapInArrow(tidied(run), "nid long, h long, w double")
     part = F.pmod("h", F.lit(PARTS)).cast("int").alias("part")
     own = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("nid").alias("nid"), F.min("w").alias("w")).filter("n = 1")
     each = rows.select("nid", part, F.col("w").alias("all"), F.col("w").alias("common"))
@@ -241,6 +300,17 @@ def _may_be_similar() -> Column:
     return (F.least("shared", "shared2") >= least) & (common >= least)
 
 
+def squared(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left joined with right (its columns end in 2, save band and key) on band and key. A bucket is cut into squares,
+    so that a task joins LOT by LOT nodes at a time; each pair meets in one of them."""
+    size = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n1")).join(right.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_n2")), ["band", "key"])
+    size = size.select("band", "key", (F.floor(F.col("_n1") / LOT) + 1).alias("_p"), (F.floor(F.col("_n2") / LOT) + 1).alias("_q"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    a = left.join(size, ["band", "key"]).withColumns({"_i": F.pmod(F.xxhash64("nid"), F.col("_p")), "_j": F.explode(upto("_q"))}).drop("_p", "_q")
+    b = right.join(size, ["band", "key"]).withColumns({"_j": F.pmod(F.xxhash64("nid2"), F.col("_q")), "_i": F.explode(upto("_p"))}).drop("_p", "_q")
+    return a.join(b, ["band", "key", "_i", "_j"]).drop("_i", "_j")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(nid, comp) of every node that has a link: the smallest node that it is connected to. Labels go to neighbours
     and are then followed to their own labels, until nothing changes; each round is written, so lineage stays short."""
@@ -291,18 +361,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     comp = components(links)
     labelled = lambda d: d.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
     close = F.abs(F.col("sim") - F.col("sim2")) <= 1 - SIMILAR + 1e-9
-    # Before the rest is compared in full: nodes that missed a pivot closely meet other nodes of its bucket, one of each
-    # bucket they share. A large group whose texts are just about similar falls together here, without its pairs.
+    # Before the rest is compared in full: nodes that missed a pivot closely meet MEETINGS other nodes of each bucket they
+    # share. A large group whose texts are just about similar falls together here, without its pairs.
     merged = lambda found: components(stored(comp.filter("nid <> comp").select(F.col("nid").alias("a"), F.col("comp").alias("b")).union(found), "near-all"))
-    for k in range(MEETINGS):
-        asked = []
-        for met in left:
-            missed = labelled(met.filter(_near_miss()))
-            hosts = labelled(met.filter(F.col("sim") >= SIMILAR)).groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("nid", "band", F.lit(k)), "nid", "comp")).alias("host"))
-            asked.append(missed.join(hosts, ["band", "key"]).filter(F.col("comp") != F.col("host.comp")).select(F.col("nid").alias("a"), F.col("host.nid").alias("pivot")))
-        pairs = stored(functools.reduce(DataFrame.union, asked).distinct(), "near-meetings")
-        if pairs.isEmpty():
-            break
+    asked = []
+    for met in left:
+        missed = labelled(met.filter(_near_miss()))
+        hosts = labelled(met.filter(F.col("sim") >= SIMILAR)).groupBy("band", "key")
+        hosts = hosts.agg(*[F.min(F.struct(F.xxhash64("nid", "band", F.lit(k)), "nid", F.col("comp").alias("theirs"))).alias(f"h{k}") for k in range(MEETINGS)])
+        hosts = hosts.select("band", "key", F.explode(F.array_distinct(F.array(*[F.col(f"h{k}").dropFields("col1") for k in range(MEETINGS)]))).alias("h"))
+        asked.append(missed.join(hosts, ["band", "key"]).filter(F.col("comp") != F.col("h.theirs")).select(F.col("nid").alias("a"), F.col("h.nid").alias("pivot")))
+    pairs = stored(functools.reduce(DataFrame.union, asked).distinct(), "near-meetings")
+    if not pairs.isEmpty():
         comp = merged(verified(pairs, texts, idf).filter(F.col("sim") >= SIMILAR).select("a", F.col("pivot").alias("b")))
     more = []
     asked = functools.reduce(DataFrame.union, [m.filter(_open(k)).select("band", "key") for k, m in enumerate(left)]).distinct()
@@ -313,10 +383,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         others = known.select("band", "key", *[F.col(c).alias(f"{c}2") for c in ("nid", "sim", "comp", "total", "shared", "parts")])
         pair = close & (F.col("comp") != F.col("comp2")) & _may_be_similar()
         met_pivot = others.filter(F.col("sim2") >= SIMILAR)
-        more.append(known.filter(_near_miss()).join(met_pivot, ["band", "key"]).filter(pair).select("nid", "nid2"))
+        more.append(squared(known.filter(_near_miss()), met_pivot).filter(pair).select("nid", "nid2"))
         if k == PIVOTS - 1:  # what the last pivots leave
             missed = others.filter(F.col("sim2") < SIMILAR)
-            more.append(known.filter(F.col("sim") < SIMILAR).join(missed, ["band", "key"]).filter(pair & (F.col("nid") > F.col("nid2"))).select("nid", "nid2"))
+            more.append(squared(known.filter(F.col("sim") < SIMILAR), missed).filter(pair & (F.col("nid") > F.col("nid2"))).select("nid", "nid2"))
     rest = functools.reduce(DataFrame.union, more).distinct().select(F.col("nid").alias("a"), F.col("nid2").alias("pivot"))
     rest = stored(rest, "near-rest")
     if not rest.isEmpty():
@@ -339,10 +409,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with their own columns: of each class the one of smallest id (of equal ids, of the smallest hash
     of its text, one row), and all documents without words."""
+    own = {c: c if c in ("doc_id", "text") else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
     _, nodes = classes(docs)
     winners = nodes.groupBy("comp").agg(F.min(F.struct(F.coalesce(F.col("rep"), F.lit((1 << 63) - 1)).alias("order"), "h", "rep")).alias("w")).select(F.col("w.h").alias("_h"), F.col("w.rep").alias("_rep"))
     text = F.coalesce(F.col("text"), F.lit(""))
     wordy = text.rlike(f"[^{SPACES}]")
     hashed = docs.filter(wordy).withColumn("_h", F.unhex(F.md5(F.col("text").cast("binary"))))
     kept = hashed.join(winners, "_h").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_rep"))).dropDuplicates(["_h"])
-    return kept.select(*docs.columns).unionByName(docs.filter(~wordy))
+    return kept.select(*docs.columns).unionByName(docs.filter(~wordy)).select(*[F.col(a).alias(c) for c, a in own.items()])
