@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, running, stored
+from .common import fenced, n_words, running, stored
 
 BLOCK = 64
 #: Slots of an output shard.
@@ -189,7 +189,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken = placed.select("src", "bucket", "rn", "_h1", "_h2", "size").join(ranges, ["src", "bucket", "rn"])
     taken = taken.select("_h1", "_h2", F.when(F.col("_taken") < F.col("size"), F.col("_ranges")).alias("_ranges"))
     out = keyed.dropDuplicates(["_h1", "_h2"]).join(taken, ["_h1", "_h2"])
-    out = out.withColumn("_words", F.when(F.col("_ranges").isNotNull(), F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != "")))
+    # Fenced: within the function of ranges below, words would else be split anew for each range.
+    out = out.withColumn("_words", fenced(F.when(F.col("_ranges").isNotNull(), F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))))
     part = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(F.col("_words"), (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
     out = out.withColumn("text", F.coalesce(part, "text"))
     if "n_chars" in own:

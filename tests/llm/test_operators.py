@@ -329,10 +329,23 @@ def test_toxicity(spark, odd, empty):
     assert toxicity(odd, labels).count() == len(ODD) and toxicity(empty, labels).count() == 0
     assert toxicity(odd, labels.limit(0)).filter("predicted = 1").count() == 0
     assert set(not_toxic(odd, labels).columns) == set(odd.columns)
+    # Groups that toxic texts name more often than others do: neutral mentions of them are called toxic less often when
+    # a swap that changes the score is penalised. Half of the toxic texts have no other sign.
+    import pyarrow as pa
+
+    from framewright.llm.toxicity import scores
+
+    group = lambda i: ["muslims", "juifs", "ausländer", "gitanos"][i % 4]
+    train = [(f"{prose(i, 12)} {group(i)} {'nastyword' if i % 2 else ''}", 1, 300) for i in range(300)]
+    train += [(f"{prose(i, 12)} {'christians chrétiens einheimische blancos'.split()[i % 4] if i % 3 else group(i)}", 0, 300) for i in range(300, 600)]
+    neutral = pa.array([f"{prose(i, 12)} {group(i)}" for i in range(1000, 1200)])
+    toxic = pa.array([f"{prose(i, 12)} nastyword" for i in range(2000, 2200)])
+    rates = {pull: [(scores(t, *learn(train, pull=pull)) >= 0.5).mean() for t in (neutral, toxic)] for pull in (0.0, 20.0)}
+    assert rates[0.0][0] > 0.3 and rates[20.0][0] < rates[0.0][0] / 2 and rates[20.0][1] > 0.9, rates  # 0.38 and 0.14
     # A group's name that only toxic texts have weighs less when its swap is penalised.
     named = [(prose(i, 20) + " muslim" + " nastyword" * (i % 2), 1, 50) for i in range(50)] + [(prose(i, 20), 0, 50) for i in range(50, 100)]
     free, held = (learn(named, pull=p)[0] for p in (0.0, 20.0))
-    assert abs(held.get(b"=muslim", 0.0)) < abs(free.get(b"=muslim", 0.0))
+    assert abs(held.get("=muslim", 0.0)) < abs(free.get("=muslim", 0.0))
 
 
 def test_quality(spark, odd, empty):
@@ -397,11 +410,20 @@ def test_main_text(spark):
 def brute_classes(rows):
     from framewright.llm import neardup as N
 
+    import pyarrow as pa
+
     sh = [N.shingles(t) for _, t in rows]
-    df = np.zeros(N.CELLS)
+    # Distinct least shingles by cell, counted by brute force, must be what the sketch tells of them, as it rounds.
+    seen = collections.defaultdict(set)
     for h, _ in sh:
-        df[np.unique(h & np.uint64(N.CELLS - 1)).astype(np.int64)] += 1
-    idf = N.idf_of(len(rows), df)
+        for c in (h & np.uint64(N.CELLS - 1)).tolist():
+            seen[c].add(int(h[0]))
+    table, every = np.zeros((N.CELLS, N.WORDS), np.uint32), np.zeros(N.WORDS, np.uint32)
+    N.sketched(pa.array([t for _, t in rows], pa.string()), table, every)
+    df = N.distinct_of(table)
+    for c, x in seen.items():
+        assert 0.4 * len(x) <= df[c] <= 2 * len(x) + 0.5
+    idf = N.idf_of(float(N.distinct_of(every[None])[0]), df)
     v = [(h, N.weights(n, h, idf).astype(float)) for h, n in sh]
     label = list(range(len(rows)))
     for i in range(len(rows)):
