@@ -407,6 +407,48 @@ def test_main_text(spark):
         assert cost(min_cut(odds, edges)) == pytest.approx(best)
 
 
+def test_main_text_by_the_cut():
+    from framewright.llm import maintext as M
+
+    # Markup says nothing here: the classifier judges, fitted on pages whose markup does.
+    long_ = lambda k: (prose(k, 45) + ", " + prose(k + 50, 20) + ".").capitalize()
+    links = "".join(f"<li><a href=/{k}>{prose(k, 2)}</a></li>" for k in range(8))
+    pages = [f"<nav><ul>{links}</ul></nav><article><h1>{prose(k, 5)}</h1><p>{long_(k)}</p><p>{long_(k + 9)}</p></article><footer>{prose(k, 4)} <a href=x>us</a></footer>" for k in range(40)]
+    weights = M.fitted(pages)
+    texts = [long_(300), "Really so?", long_(301), long_(302), "Perhaps.", long_(303)]
+    page = f"<div><ul>{links}</ul></div><div>{''.join(f'<p>{t}</p>' for t in texts)}</div><div><ul>{links}</ul></div>"
+    blocks = M.blocks_of(page)
+    odds = M.log_odds(blocks, weights)
+    assert all(abs(z) <= M.TEXT for z in odds) and M.extract(page, weights) == "\n".join(texts)
+    # Without the edges, a block of unsure odds falls out; with them it stays with its neighbours.
+    unsure = [2.0, -0.9, 2.0, -2.0]
+    assert M.min_cut(unsure, []) == [True, False, True, False]
+    edges = [(0, 1, M.NEXT), (0, 1, M.SIBLING), (1, 2, M.NEXT), (1, 2, M.SIBLING), (2, 3, M.NEXT)]
+    assert M.min_cut(unsure, edges) == [True, True, True, False]
+    plain = "<div>" + "".join(f"<div>{t}</div>" for t in texts) + "</div>"
+    alone = "\n".join(b.text for b, z in zip(M.blocks_of(plain), M.log_odds(M.blocks_of(plain), M.STATED), strict=True) if z > 0)
+    assert "Really so?" not in alone and M.extract(plain) == "\n".join(texts)  # by the stated weights, where nothing can be learnt
+    assert (M.fitted([]) == M.STATED).all() and (M.fitted(["<p>a</p>"]) == M.STATED).all()
+
+
+def test_main_text_of_broken_long_and_deep_pages():
+    import time
+
+    from framewright.llm.maintext import extract
+
+    tail = "<article><p>" + "word " * 40 + "</p></article>"
+    want = ("word " * 40).strip()
+    for tag in ("svg", "math", "object", "canvas", "audio", "video", "select", "button"):
+        assert extract(f"<{tag}>" + tail).endswith(want), tag
+        assert extract(f"<{tag}>hidden</{tag}>" + tail) == want, tag
+    assert extract("<script>" + tail) == "" and extract("<p>a</p><script>var x = '<p>b</p>';</script>" + tail).endswith(want)
+    t = time.time()
+    deep = "<div>" * 20_000 + tail + "</section>" * 20_000
+    assert extract(deep) == want
+    assert extract("<article>" + "<p>" + "word " * 30 + "</p>" * 1 + ("<p>" + "word " * 30 + "</p>") * 5_000 + "</article>").count("\n") == 5_000
+    assert time.time() - t < 30
+
+
 def brute_classes(rows):
     from framewright.llm import neardup as N
 
