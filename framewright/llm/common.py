@@ -9,7 +9,9 @@ import re
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,21 @@ def tidied(run: Callable) -> Callable:
     return all_
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, number of each word among them, where each text's words begin, with the total last), of texts
+    of large_string without nulls, ASCII letters in lower case. Arrow splits and numbers them."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    names, words, bounds = coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    empty = pc.index(names, pa.scalar("", names.type)).as_py()
+    if empty >= 0:  # before the first word, or after the last
+        real = words != empty
+        bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+        words = words[real]
+    return names, words, bounds.astype(np.int64)
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
     """df, stored, with for each of `sums` its total over all rows before, by `order` (which tells all rows apart). Rows
     are dealt to tasks by ranges of the order; only the tasks' totals, a row for each task, are summed up in one place."""
