@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, tidied, tidy, workers_find_package
+from .common import SPACES, split_words, stored, tidied, tidy, workers_find_package
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -72,17 +72,8 @@ def shingles_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     word of TEXTS texts is hashed once."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     for at in range(0, len(texts), TEXTS):
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, TEXTS)))
-        coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        number = np.fromiter(map(xxhash.xxh64_intdigest, names), U, len(names))
-        words, bounds = coded.indices.to_numpy(), split.offsets.to_numpy()
-        bounds = bounds - bounds[0]
-        if "" in names:  # before the first word, or after the last
-            real = words != names.index("")
-            bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
-            words = words[real]
-        words = number[words]
+        names, words, bounds = split_words(texts.slice(at, TEXTS))
+        words = np.fromiter(map(xxhash.xxh64_intdigest, names.to_pylist()), U, len(names))[words]
         for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if i == j:
                 yield np.empty(0, U), np.empty(0, np.int64)
@@ -261,16 +252,6 @@ def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return stored(rows.select("pivot", "a", "text").mapInArrow(tidied(run), "a long, pivot long, sim double"), "near-verified")
 
 
-def _near_miss() -> Column:
-    """Of a row of a meeting: the node missed the pivot, but by no more than what the triangle inequality leaves open."""
-    return (F.col("sim") < SIMILAR) & (F.col("sim") >= 2 * SIMILAR - 1 - 1e-9)
-
-
-def _open(k: int) -> Column:
-    """Of a row of the meetings with pivot k: whether it may need a comparison besides those with pivots."""
-    return F.col("sim") < SIMILAR if k == PIVOTS - 1 else _near_miss()
-
-
 def shareable(texts: DataFrame, idf) -> DataFrame:
     """nid, total (weight of all its shingles), shared (of those that another text of `texts` has as well) and parts
     (shared, by PARTS residues of the shingles' hashes). Two texts have no more weight in common than the lesser
@@ -345,53 +326,50 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = keyed.join(wanted, keyed["rep"].eqNullSafe(wanted["rep"])).filter(F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("h"))
     texts = stored(texts.select("nid", "text").dropDuplicates(["nid"]), "near-texts")
 
-    links = spark.createDataFrame([], "a long, b long")
-    open_, left = members, []
-    for _ in range(PIVOTS):
+    links, open_, met = spark.createDataFrame([], "a long, b long"), members, []
+    for k in range(PIVOTS):
         pivots = open_.groupBy("band", "key").agg(F.min("nid").alias("pivot"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-        at = open_.join(pivots, ["band", "key"])
-        sims = verified(at.filter("nid <> pivot").select(F.col("nid").alias("a"), "pivot").distinct(), texts, idf)
+        at = open_.join(pivots, ["band", "key"]).filter("nid <> pivot")
+        sims = verified(at.select(F.col("nid").alias("a"), "pivot").distinct(), texts, idf)
         links = links.union(sims.filter(F.col("sim") >= SIMILAR).select("a", F.col("pivot").alias("b")))
-        met = at.filter("nid <> pivot").join(sims.withColumnRenamed("a", "nid"), ["nid", "pivot"]).select("band", "key", "nid", "sim")
-        met = stored(met, "near-met")
-        left.append(met)
-        open_ = met.filter(F.col("sim") < SIMILAR).select("band", "key", "nid")
+        # A bucket's band is told apart by round, so that both rounds are one table from here on.
+        rows_met = at.join(sims.withColumnRenamed("a", "nid"), ["nid", "pivot"]).select((F.col("band") + BANDS * k).alias("band"), "key", "nid", "sim")
+        met.append(stored(rows_met, "near-met"))
+        open_ = met[-1].filter(F.col("sim") < SIMILAR).select((F.col("band") - BANDS * k).alias("band"), "key", "nid")
         if open_.isEmpty():
             break
+    met = functools.reduce(DataFrame.union, met)
     comp = components(links)
-    labelled = lambda d: d.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
-    close = F.abs(F.col("sim") - F.col("sim2")) <= 1 - SIMILAR + 1e-9
+    labelled = lambda: met.join(comp, "nid", "left").withColumn("comp", F.coalesce("comp", "nid"))
+    merged = lambda found: components(stored(comp.filter("nid <> comp").select(F.col("nid").alias("a"), F.col("comp").alias("b")).union(found), "near-all"))
+    # A node that missed its pivot by more than what the triangle inequality leaves open is not similar to one that met it.
+    near_miss, last = (F.col("sim") < SIMILAR) & (F.col("sim") >= 2 * SIMILAR - 1 - 1e-9), F.col("band") >= BANDS * (PIVOTS - 1)
+
     # Before the rest is compared in full: nodes that missed a pivot closely meet MEETINGS other nodes of each bucket they
     # share. A large group whose texts are just about similar falls together here, without its pairs.
-    merged = lambda found: components(stored(comp.filter("nid <> comp").select(F.col("nid").alias("a"), F.col("comp").alias("b")).union(found), "near-all"))
-    asked = []
-    for met in left:
-        missed = labelled(met.filter(_near_miss()))
-        hosts = labelled(met.filter(F.col("sim") >= SIMILAR)).groupBy("band", "key")
-        hosts = hosts.agg(*[F.min(F.struct(F.xxhash64("nid", "band", F.lit(k)), "nid", F.col("comp").alias("theirs"))).alias(f"h{k}") for k in range(MEETINGS)])
-        hosts = hosts.select("band", "key", F.explode(F.array_distinct(F.array(*[F.col(f"h{k}").dropFields("col1") for k in range(MEETINGS)]))).alias("h"))
-        asked.append(missed.join(hosts, ["band", "key"]).filter(F.col("comp") != F.col("h.theirs")).select(F.col("nid").alias("a"), F.col("h.nid").alias("pivot")))
-    pairs = stored(functools.reduce(DataFrame.union, asked).distinct(), "near-meetings")
+    now = stored(labelled(), "near-labelled")
+    hosts = now.filter(F.col("sim") >= SIMILAR).groupBy("band", "key")
+    hosts = hosts.agg(*[F.min(F.struct(F.xxhash64("nid", "band", F.lit(k)).alias("order"), "nid", F.col("comp").alias("theirs"))).alias(f"h{k}") for k in range(MEETINGS)])
+    hosts = hosts.select("band", "key", F.explode(F.array_distinct(F.array(*[F.col(f"h{k}").dropFields("order") for k in range(MEETINGS)]))).alias("h"))
+    pairs = now.filter(near_miss).join(hosts, ["band", "key"]).filter(F.col("comp") != F.col("h.theirs")).select(F.col("nid").alias("a"), F.col("h.nid").alias("pivot"))
+    pairs = stored(pairs.distinct(), "near-meetings")
     if not pairs.isEmpty():
         comp = merged(verified(pairs, texts, idf).filter(F.col("sim") >= SIMILAR).select("a", F.col("pivot").alias("b")))
-    more = []
-    asked = functools.reduce(DataFrame.union, [m.filter(_open(k)).select("band", "key") for k, m in enumerate(left)]).distinct()
-    open_ids = functools.reduce(DataFrame.union, [m.select("band", "key", "nid") for m in left]).join(asked, ["band", "key"], "left_semi").select("nid").distinct()
-    bound = stored(shareable(texts.join(open_ids, "nid"), idf), "near-bounds")
-    for k, met in enumerate(left):
-        known = labelled(met).join(bound, "nid")
-        others = known.select("band", "key", *[F.col(c).alias(f"{c}2") for c in ("nid", "sim", "comp", "total", "shared", "parts")])
-        pair = close & (F.col("comp") != F.col("comp2")) & _may_be_similar()
-        met_pivot = others.filter(F.col("sim2") >= SIMILAR)
-        more.append(squared(known.filter(_near_miss()), met_pivot).filter(pair).select("nid", "nid2"))
-        if k == PIVOTS - 1:  # what the last pivots leave
-            missed = others.filter(F.col("sim2") < SIMILAR)
-            more.append(squared(known.filter(F.col("sim") < SIMILAR), missed).filter(pair & (F.col("nid") > F.col("nid2"))).select("nid", "nid2"))
-    rest = functools.reduce(DataFrame.union, more).distinct().select(F.col("nid").alias("a"), F.col("nid2").alias("pivot"))
-    rest = stored(rest, "near-rest")
+        now = stored(labelled(), "near-labelled")
+
+    # The rest: close misses against nodes that met the pivot, and what the last pivot left among itself.
+    asked = now.filter(near_miss | last & (F.col("sim") < SIMILAR)).select("band", "key").distinct()
+    open_ = now.join(asked, ["band", "key"], "left_semi")
+    bound = shareable(texts.join(open_.select("nid").distinct(), "nid"), idf)
+    known = stored(open_.join(bound, "nid"), "near-bounds")
+    others = known.select("band", "key", *[F.col(c).alias(f"{c}2") for c in ("nid", "sim", "comp", "total", "shared", "parts")])
+    close = F.abs(F.col("sim") - F.col("sim2")) <= 1 - SIMILAR + 1e-9
+    open_pair = near_miss & (F.col("sim2") >= SIMILAR) | last & (F.col("sim2") < SIMILAR) & (F.col("nid") > F.col("nid2"))
+    rest = squared(known.filter(near_miss | last & (F.col("sim") < SIMILAR)), others.filter(last | (F.col("sim2") >= SIMILAR)))
+    rest = rest.filter(open_pair & close & (F.col("comp") != F.col("comp2")) & _may_be_similar()).select(F.col("nid").alias("a"), F.col("nid2").alias("pivot"))
+    rest = stored(rest.distinct(), "near-rest")
     if not rest.isEmpty():
-        found = verified(rest, texts, idf).filter(F.col("sim") >= SIMILAR).select("a", F.col("pivot").alias("b"))
-        comp = merged(found)
+        comp = merged(verified(rest, texts, idf).filter(F.col("sim") >= SIMILAR).select("a", F.col("pivot").alias("b")))
     nodes = nodes.select("nid", "h", "rep").join(comp, "nid", "left").select("h", "rep", F.coalesce("comp", "nid").alias("comp"))
     return rows.select("doc_id", "h"), stored(nodes, "near-classes")
 
