@@ -366,10 +366,10 @@ def test_quality(spark, odd, empty):
     assert statistics(empty).count() == 0
 
 
-def test_language_model(spark, odd, empty):
+def test_language_model(spark, odd, empty, monkeypatch):
     import math
 
-    from framewright.llm.bilinear import END, lm_scores, train
+    from framewright.llm.bilinear import END, lm_scores
 
     rows = [(i, "The cat sat on the mat " * (i % 4) + prose(i % 11, 10)) for i in range(80)]
     got = {r.doc_id: r for r in lm_scores(docs(spark, rows)).collect()}
@@ -384,11 +384,62 @@ def test_language_model(spark, odd, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(w in counts for w in t), n, zlib.crc32(str(i).encode()) % 10 == 0)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
-    log = train(np.random.default_rng(1).integers(0, 50, (20, 20)).astype(float), steps=20)
-    assert np.allclose((10.0 ** log.astype(float)).sum(1), 1, atol=1e-4)
+    # The scores by brute force, one token at a time: the unit's probability, and a word's share of its class.
+    import pyarrow as pa
+
+    from framewright.llm import bilinear as M
+
+    seen = {}
+    monkeypatch.setattr(M, "refined", lambda *a, f=M.refined: seen.setdefault("p", f(*a)))
+    monkeypatch.setattr(M, "units_for", lambda _: 280)  # 24 words and the classes
+    got = {r.doc_id: r for r in lm_scores(docs(spark, rows)).collect()}
+    p = {k: x.astype(float) for k, x in seen["p"].items()}
+    words = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if w != END][:24]
+    raw = lambda w: w.encode()
+    unit_of = lambda w: 0 if w == END else words.index(w) + 1 if w in words else 25 + (raw(w)[-1] * 131 + (raw(w)[-2] if len(raw(w)) > 1 else 0) * 31) % 255
+    mass = collections.Counter()
+    for w, n in counts.items():
+        mass[unit_of(w)] += n + 0.1
+    for i, t in tok.items():
+        u, want = [0, 0, *map(unit_of, t)], 0.0
+        for k, w in enumerate(t):
+            s = (p["r"][u[k + 1]] @ p["c1"] + p["r"][u[k]] @ p["c2"]) @ p["t"].T + p["b"]
+            want += (s[u[k + 2]] - np.log(np.exp(s).sum())) / np.log(10)
+            if u[k + 2] >= 25:
+                want += math.log10((counts[w] + 0.1) / (mass[u[k + 2]] + 0.1))
+        assert got[i].score == pytest.approx(want, rel=1e-4)
+    monkeypatch.undo()
     assert lm_scores(odd).count() == len(ODD) and lm_scores(empty).count() == 0
 
 
+def test_log_bilinear_model():
+    from framewright.llm import bilinear as M
+
+    # A language of 40 units in which the second last decides: only a context of two can tell.
+    random = np.random.default_rng(4)
+    unit = random.integers(1, 40, 60_000)
+    for k in range(2, len(unit)):
+        if k % 3:
+            unit[k] = (unit[k - 2] * 7) % 39 + 1
+    n = np.zeros((40, 40), np.float32)
+    last, before = M.contexts(unit)
+    np.add.at(n, (last, unit), 1)
+    p = M.start(n)
+    trainer = M.Trainer(p, 0)
+    for _ in range(6):
+        trainer.over(unit)
+    found = {name: M.log_probabilities(q, unit) for name, q in (("pairs", p), ("both", p | trainer.p))}
+    assert found["both"].mean() > found["pairs"].mean() + 0.1
+    # Normalised: over all units of a context, by brute force.
+    q = p | trainer.p
+    for a, b in ((0, 0), (3, 9), (39, 1)):
+        s = (q["r"][a] @ q["c1"] + q["r"][b] @ q["c2"]) @ q["t"].T + q["b"]
+        want = (s - np.log(np.exp(s.astype(float)).sum())) / np.log(10)
+        got = [M.log_probabilities(q, np.array([b, a, u]))[2] for u in range(40)] if a else [M.log_probabilities(q, np.array([u]))[0] for u in range(40)]
+        assert np.allclose(got, want, atol=1e-4) and np.isclose((10.0 ** np.array(got)).sum(), 1, atol=1e-4)
+    assert M.contexts(np.array([5, 6, 0, 7, 8]))[1].tolist() == [0, 0, 5, 0, 0] and M.units_for(10) == 512 and M.units_for(10**12) == M.MOST_UNITS
+
+
 def test_main_text(spark):
     from framewright.llm.maintext import extract, main_text, min_cut
 
