@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, labelled_sample, tidied, tidy, workers_find_package
+from .common import held_out, labelled_sample, tidied, workers_find_package
 from .logistic import fit, gram, sigmoid
 
 #: Labelled documents of each label value to learn from, at most.
@@ -149,10 +149,17 @@ def scored(docs: DataFrame, weights: dict[str, float], bias: float) -> DataFrame
 
 
 def model(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
-    rows = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", PER_CLASS).select("text", "y", "n").toArrow().to_pylist()
-    found = learn(sorted(((r["text"], r["y"], r["n"]) for r in rows), key=lambda r: (r[1], r[0] or "")))
-    tidy()
-    return found
+    """learn() from the labelled sample. One task does it, whose memory the sample bounds; the driver gets the weights."""
+    workers_find_package(docs.sparkSession)
+    sample = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", PER_CLASS).select("text", "y", "n")
+
+    def run(batches):
+        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        weights, bias = learn(sorted(rows, key=lambda r: (r[1], r[0] or "")))
+        yield pa.RecordBatch.from_arrays([pa.array([None, *weights], pa.string()), pa.array([bias, *weights.values()], pa.float64())], names=["name", "weight"])
+
+    found = sample.coalesce(1).mapInArrow(tidied(run), "name string, weight double").collect()
+    return {r.name: r.weight for r in found if r.name is not None}, next((r.weight for r in found if r.name is None), -40.0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
