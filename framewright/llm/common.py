@@ -90,7 +90,7 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: s
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_task", *[F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in sums])
     d = d.withColumns({k: F.coalesce(F.sum(f"_own_{k}").over(within), F.lit(0)) for k in sums}).join(totals, "_task")
-    return d.select(*df.columns, *[(F.col(k) + F.col(f"_base_{k}")).alias(k) for k in sums])
+    return stored(d.select(*df.columns, *[(F.col(k) + F.col(f"_base_{k}")).alias(k) for k in sums]), name)
 
 
 def fenced(c: Column) -> Column:

@@ -77,7 +77,7 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     s = running(s, [F.col("_q").asc(), F.col("src").asc()], {"_caps": F.col("_cap"), "_ws": F.col("_w")}, "mix-levels")
     total = s.agg(F.sum("source_size").alias("_size"), F.sum("_w").alias("_weight"))
     level = (share * F.col("_size") - F.col("_caps")) / (F.col("_weight") - F.col("_ws"))
-    s = s.join(F.broadcast(total)).withColumn("_level", level)  # total is one row
+    s = stored(s.join(F.broadcast(total)).withColumn("_level", level), "mix-levels")  # total is one row
     first = s.filter(F.col("_level") <= F.col("_q")).agg(F.coalesce(F.min_by("_level", F.struct("_q", "src")), F.lit(0.0)).alias("_first"))
     return s.join(F.broadcast(first)).select("source", "src", "source_size", "n_docs", F.least(F.col("_cap"), F.col("_first") * F.col("_w")).alias("target"))
 
@@ -155,7 +155,7 @@ def mixed(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), shard: int = SHA
     blocks = blocks.select("*", F.explode(F.sequence(F.floor(F.col("_a") / BLOCK), F.floor((F.col("_b") - 1) / BLOCK))).alias("block"))
 
     by_source = source_slots(sources)
-    slots = slots_of_shards(by_source, stored(shard_draws(by_source, shard), "mix-draws"))
+    slots = stored(slots_of_shards(by_source, stored(shard_draws(by_source, shard), "mix-draws")), "mix-shards")
     figures = by_source.select("src", "n", "passes", "rest").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     slots = slots.withColumn("_salt", F.col("shard") % SALT).join(figures, ["src", "_salt"])
     slots = slots.withColumns({"pass": F.floor(F.col("k") / F.col("n")), "_j": F.col("k") % F.col("n"), "_full": F.col("n") - 1})
