@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 
 
@@ -75,11 +77,33 @@ def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probed(encoded(table(spark, sf_dir, "documents")))
 
 
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op1 SQL computes as well."""
+    return op1_divergence(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def source_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of op2: a row for each source."""
+    d = op2_mixing(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return d.groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 6).alias("target"))
+
+
+def unigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of op5."""
+    return op5_language_model(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of op10."""
+    return op10_mpeg_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     all_ = (op1_divergence, op2_mixing, op3_token_orc, op4_toxicity, op5_language_model, op6_packing, op7_quality, op8_main_text, op9_near_duplicates, op10_mpeg_audio)
-    return {f.__name__: f for f in all_}
+    return {f.__name__: f for f in (*all_, base_counts, source_targets, unigram_scores, media_payloads)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: each query has columns that SQL can't express (pseudorandom draws, encoders, learnt models, formats)."""
-    return {}
+    """For what SQL can express of op1, op2, op5 and op10. Each of the ten as a whole has columns that SQL can't express
+    (pseudorandom draws, encoders, learnt models, formats)."""
+    return oracles.all_()
