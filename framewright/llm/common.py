@@ -38,12 +38,37 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written by this process that may still be read.
+_written: list[str] = []
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def passing(spark: SparkSession, path: str) -> str:
+    """path, whose files go when the application ends, or with discard()."""
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
+    _written.append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all tables that this process has written between steps. For long sessions: results that have not been
+    written or collected yet can't be read afterwards."""
+    while _written:
+        p, fs = _path(spark, _written.pop())
+        fs.delete(p, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(passing(spark, path))
 
 
 def tidy() -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, tidied, workers_find_package
+from .common import new_path, passing, tidied, workers_find_package
 from .encode import encoder
 
 END = 0
@@ -73,6 +73,7 @@ def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     path = new_path(spark, "token-orc")
     write_orc(docs, path, tokenizer)
+    passing(spark, path)
 
     def digest(batches):
         for b in batches:

@@ -35,6 +35,32 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_near_copies_in_a_large_group(spark):
+    from framewright.llm.neardup import near_duplicates
+
+    # A third of the rows are copies of one text, each with another word changed: any two have a plain similarity of
+    # 0.84. That so many share their shingles must not take the weight from these.
+    base = prose(77, 120).split()
+    rows = [(i, " ".join([*base[: 5 + i], f"changed{i}", *base[6 + i :]])) for i in range(100)]
+    rows += [(1000 + i, prose(3000 + i, 100)) for i in range(200)]
+    got = {r.doc_id: r.class_id for r in near_duplicates(docs(spark, rows)).collect()}
+    assert all(got[i] == 0 for i in range(100)) and all(got[1000 + i] == 1000 + i for i in range(200))
+
+
+def test_tables_between_steps_go(spark, monkeypatch):
+    import os
+
+    from framewright.llm import common as C
+
+    monkeypatch.setattr(C, "_written", [])
+    d = C.stored(spark.range(5), "passing")
+    (path,) = C._written
+    local = path.removeprefix("file://")
+    assert d.count() == 5 and os.path.isdir(local)
+    C.discard(spark)
+    assert not os.path.exists(local) and C._written == []
+
+
 def base_of(text):
     t = text or ""
     w = t.encode().split()
@@ -94,6 +120,47 @@ def test_divergence_drops_texts_without_common_words(spark):
     assert not got[1000].kept and got[1001].kept and all(got[k].kept for k in range(200))
 
 
+def test_distances_by_brute_force(spark):
+    import math
+    import re
+
+    from framewright.llm.divergence import quality_rules
+
+    rows = [(i, (prose(i % 9, 45) + f" X{i}, 12. ÀÈ é!").capitalize(), "a" if i % 3 else "b") for i in range(60)] + [(90, "== " * 40, "a"), (91, "a b c", "b"), (92, None, "a")]
+    got = {r.doc_id: r for r in quality_rules(docs(spark, rows).withColumn("lang", F.col("source")), least_share=0.0).collect()}
+    kinds = [r"[a-zß-ÿ]", r"[A-ZÀ-Þ]", None, r"[0-9]", r"[ \t-\r]", r"[.,;:?'\"()-]"]
+
+    def classes(text):
+        n = [len(re.findall(k, text)) if k else sum(c.isalpha() and not re.match("[a-zA-ZÀ-ÿ]", c) for c in text) for k in kinds]
+        return [*n, len(text) - sum(n)]
+
+    letters = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+
+    def js(p, q):
+        half = lambda a, m: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0) / 2
+        m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+        return math.sqrt(max(0.0, half(p, m) + half(q, m)))
+
+    share = lambda n: [x / max(1, sum(n)) for x in n]
+    refs, common = {}, set()
+    for lang in "ab":
+        count = collections.Counter(w for r in rows if r[2] == lang for w in letters(r[1]))
+        total = sum(count.values())
+        refs[lang] = (share([sum(x) for x in zip(*(classes(r[1] or "") for r in rows if r[2] == lang), strict=True)]), {w: n / total for w, n in count.items()})
+        common |= {w for w, n in count.items() if n >= 0.005 * total}
+    order = sorted(common)
+    with_rest = lambda p: [*p, max(0.0, 1 - sum(p))]
+    for i, text, _ in rows:
+        n, own = len((text or "").split()), collections.Counter(letters(text))
+        if n < 30:
+            assert got[i].char_distance is None and got[i].word_distance is None and got[i].kept == (not got[i].base_failed)
+            continue
+        size = max(1, sum(own.values()))
+        assert got[i].char_distance == pytest.approx(min(js(share(classes(text)), c) for c, _ in refs.values()), abs=1e-6)
+        mine = with_rest([own[w] / size for w in order])
+        assert got[i].word_distance == pytest.approx(min(js(mine, with_rest([w.get(x, 0.0) for x in order])) for _, w in refs.values()), abs=1e-6)
+
+
 def targets(sizes):
     """By sharing the excess again and again."""
     order = sorted(sizes, key=lambda s: (s is None, s))
@@ -412,6 +479,26 @@ def test_language_model(spark, odd, empty, monkeypatch):
     assert lm_scores(odd).count() == len(ODD) and lm_scores(empty).count() == 0
 
 
+def test_statistics_by_brute_force(spark):
+    import re
+
+    from framewright.llm.rules import STATISTICS, statistics
+
+    rows = [*ODD, (9, "One two, two! THREE| 4 5; é: two\none two\none two\n\nx x x x x x x x ? . ,"), (10, prose(5, 60).upper()), (11, "|" * 9)]
+    got = sorted(tuple(round(r[s], 9) for s in STATISTICS) for r in statistics(docs(spark, rows)).collect())
+    want = []
+    for _, text in rows:
+        t = text or ""
+        n, word_chars, symbols, lines, repeated = base_of(text)
+        w = t.encode().split()
+        words, size = max(1, n), max(1, len(t))
+        count = lambda c: len(re.findall(f"[{c}]", t))  # noqa: E731, B023
+        x = [n, word_chars / words, symbols / size, count("!?") / size, count("|") / words, count("A-ZÀ-Þ") / size, count("0-9") / size, count(".,;:") / size]
+        x += [lines / words, repeated / words, len(set(w)) / words, sum(a == b for a, b in zip(w, w[1:], strict=False)) / words, n / (t.count("\n") + 1)]
+        want.append(tuple(round(float(v), 9) for v in x))
+    assert got == sorted(want)
+
+
 def test_log_bilinear_model():
     from framewright.llm import bilinear as M
 
@@ -554,6 +641,20 @@ def test_near_duplicates(spark, odd, empty):
     assert near_duplicates(empty).count() == 0 and one_of_each(empty).count() == 0
 
 
+def test_pipeline_over_odd_rows(spark, tmp_path, odd, empty):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, 1, 0), (7, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for d in (spark.read.parquet(str(tmp_path / "documents.parquet")), empty):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, d, str(tmp_path))
+            path = str(tmp_path / f"out{k}{len(d.columns)}")
+            out.write.parquet(path)
+            if k < 4:
+                assert out.columns == d.columns
+            d = spark.read.schema(out.schema).parquet(path)
+
+
 def test_pipeline_stages(spark, tmp_path, empty):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, prose(i % 60, 50) + (" nastyword here" if i % 6 == 0 else "") + f" end{i % 60}") for i in range(200)] + [(300 + i, "WORDS!! " * 40 + prose(i, 2)) for i in range(40)]
