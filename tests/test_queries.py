@@ -67,3 +67,17 @@ def test_packet_files_and_cursors(spark, tmp_path):
     p = F.col("packet")
     r = back.select(P.byte_at(p, 4), P.take_bytes(p, 0, 4)[0], P.take_bytes(p, 0, 400)[1], P.byte_at(p, 400), F.length(P.remaining(p, 8)), P.within_budget(p, 5)).first()
     assert r[0] == 1 and bytes(r[1]) == b"PHDC" and r[2] == -6 and r[3] is None and r[4] > 0 and r[5] == -1
+
+
+def test_packet_buffers(spark):
+    from pyspark.sql import functions as F
+
+    from framewright.sources import packets as P
+
+    empty, ab = F.unhex(F.lit("")), F.unhex(F.lit("0102"))
+    one = P.append_bytes(empty, ab, 3)
+    r = spark.range(1).select(
+        F.hex(one["packet"]), P.append_bytes(one["packet"], ab, 3)["status"], P.room(one["packet"], 3), F.hex(P.split_at(ab, 1)["head"]), F.hex(P.split_at(ab, 1)["tail"]),
+        P.split_at(ab, 3)["status"], F.hex(P.split_at(ab, 2)["tail"]), P.append_bytes(F.lit(None).cast("binary"), ab, 3)["status"],
+    ).first()
+    assert tuple(r) == ("0102", -1, 1, "01", "02", -6, "", None)
