@@ -394,5 +394,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     wordy = text.rlike(f"[^{SPACES}]")
     hashed = docs.filter(wordy).withColumn("_h", F.unhex(F.md5(F.col("text").cast("binary"))))
-    kept = hashed.join(winners, "_h").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_rep"))).dropDuplicates(["_h"])
+    # By id as well: the copies of one text, which may be many, do not all go to one task.
+    winners = winners.withColumnRenamed("_h", "_won")
+    kept = hashed.join(winners, (F.col("_h") == F.col("_won")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_rep"))).dropDuplicates(["_h"])
     return kept.select(*docs.columns).unionByName(docs.filter(~wordy)).select(*[F.col(a).alias(c) for c, a in own.items()])
