@@ -37,7 +37,9 @@ def write_orc(docs: DataFrame, path: str, tokenizer: str, stripe_mb: int = 16) -
             before += int(starts[-1])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    # Equal rows, which may be many, are told apart by where they were, so that they need not all go to one task.
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumns({"_h": F.xxhash64("text"), "_m": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(n, "doc_id", "_h", "_m").sortWithinPartitions("doc_id", "_h")
     rows = ordered.select("doc_id", "text").mapInArrow(tidied(encode), "doc_id long, ids array<int>, n_tokens long, before long")
     options = {"orc.stripe.size": str(stripe_mb << 20), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
     rows.write.options(**options).orc(path)
