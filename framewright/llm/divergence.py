@@ -185,4 +185,5 @@ def divergence(docs: DataFrame, min_words: int = 30, most_chars: float = 0.25, m
 def quality_rules(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and both distances, a row for each row of docs."""
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
-    return divergence(docs.select("doc_id", "text", "lang"), **settings).select(*cols)
+    d = divergence(docs.select("doc_id", "text", "lang"), **settings)
+    return d.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")}).select(*cols)

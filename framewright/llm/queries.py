@@ -104,6 +104,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """For what SQL can express of op1, op2, op5 and op10. Each of the ten as a whole has columns that SQL can't express
+    """For op1, and for what SQL can express of op2, op5 and op10. The others have columns that SQL can't express
     (pseudorandom draws, encoders, learnt models, formats)."""
     return oracles.all_()
