@@ -75,11 +75,10 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0) -> D
     s = s.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.col("src") - 1) % len(WEIGHTS) + 1).cast("int")))
     s = s.withColumn("_cap", most * F.col("source_size")).withColumn("_q", F.col("_cap") / F.col("_w"))
     s = running(s, [F.col("_q").asc(), F.col("src").asc()], {"_caps": F.col("_cap"), "_ws": F.col("_w")}, "mix-levels")
-    total = s.agg(F.sum("source_size").alias("_size"), F.sum("_w").alias("_weight"))
-    level = (share * F.col("_size") - F.col("_caps")) / (F.col("_weight") - F.col("_ws"))
-    s = stored(s.join(F.broadcast(total)).withColumn("_level", level), "mix-levels")  # total is one row
-    first = s.filter(F.col("_level") <= F.col("_q")).agg(F.coalesce(F.min_by("_level", F.struct("_q", "src")), F.lit(0.0)).alias("_first"))
-    return s.join(F.broadcast(first)).select("source", "src", "source_size", "n_docs", F.least(F.col("_cap"), F.col("_first") * F.col("_w")).alias("target"))
+    size, weight = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+    s = s.withColumn("_level", (share * size - F.col("_caps")) / (weight - F.col("_ws")))
+    first = s.filter(F.col("_level") <= F.col("_q")).agg(F.coalesce(F.min_by("_level", F.struct("_q", "src")), F.lit(0.0))).first()[0]
+    return s.select("source", "src", "source_size", "n_docs", F.least(F.col("_cap"), first * F.col("_w")).alias("target"))
 
 
 def source_slots(sources: DataFrame) -> DataFrame:
