@@ -85,7 +85,8 @@ def references(docs: DataFrame, common_share: float, least_share: float) -> tupl
     """
     counts = stored(docs.select("lang", F.explode(_letters_only(F.col("text"))).alias("w")).groupBy("lang", "w").count(), "divergence-words")
     by_lang = counts.groupBy("lang").agg(F.sum("count").alias("n"))
-    totals = {r.lang: r.n for r in by_lang.crossJoin(by_lang.agg(F.sum("n").alias("all"))).filter(F.col("n") >= least_share * F.col("all")).select("lang", "n").collect()}
+    n_all = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    totals = {r.lang: r.n for r in by_lang.filter(F.col("n") >= least_share * n_all).collect()}
     limit = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(k)), F.lit(common_share * v)) for k, v in totals.items()], F.lit(None).cast("double"))
     top = counts.filter(F.col("count") >= limit).collect() if totals else []
     common = sorted({r.w for r in top})
