@@ -6,8 +6,8 @@ linear map for each place, and scores each unit by its product with that predict
 token of the training documents: from the counts of neighbouring units, a table, the driver fits starting parameters
 with the noise-contrastive objective in full; then each task goes over its own tokens in batches, telling the unit that
 comes from units drawn as noise, and the tasks' parameters are averaged, unit by unit, by how often a task has met it.
-For scores, matrix products over all units normalise each distinct context of a batch; a word of a class then has its
-smoothed share of the class. Log-probabilities of a text's tokens add up to its score.
+For scores, one product of matrices normalises all contexts over all units; a word of a class then has its smoothed
+share of the class. Log-probabilities of a text's tokens add up to its score.
 
 Counts of all words are gathered and used exactly, however many: those of the HEAD most frequent go to the workers in a
 broadcast of bounded size, those of the others are joined by shuffle. Only the number of units has a bound, MOST_UNITS:
@@ -19,6 +19,9 @@ each; without training documents all counts are 0 and units have equal chances;
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,8 +41,8 @@ HEAD = 200_000
 FLUSH = 300_000
 #: Tokens of a training step, units drawn as noise for it, first step's length.
 STEP, NOISE, RATE = 4096, 64, 0.05
-#: Texts that are worked on together, and contexts whose units are normalised together.
-TEXTS, CONTEXTS = 2000, 1024
+#: Texts that are worked on together.
+TEXTS = 2000
 END = " "  # no word holds a space
 
 
@@ -265,28 +268,45 @@ def refined(docs: DataFrame, units: Units, p: dict[str, np.ndarray]) -> dict[str
     return out
 
 
-def log_probabilities(p: dict[str, np.ndarray], unit: np.ndarray) -> np.ndarray:
-    """log10 P(unit | context) of each token of a sequence. Each distinct context is normalised over all units, many at
-    a time in one matrix product."""
-    last, before = contexts(unit)
-    n = len(p["b"])
-    context, of = np.unique(last * n + before, return_inverse=True)
-    order = np.argsort(of, kind="stable")
-    bounds = np.searchsorted(of[order], np.arange(0, len(context) + CONTEXTS, CONTEXTS))
-    a, b = p["r"] @ p["c1"], p["r"] @ p["c2"]
-    out = np.empty(len(unit))
-    for k, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        some = context[k * CONTEXTS : (k + 1) * CONTEXTS]
-        s = (a[some // n] + b[some % n]) @ p["t"].T
-        s += p["b"]
-        at = order[i:j]
-        row = of[at] - k * CONTEXTS
-        own = s[row, unit[at]].astype(np.float64)
-        top = s.max(1)
-        s -= top[:, None]
-        np.exp(s, out=s)
-        out[at] = own - (np.log(s.sum(1, dtype=np.float64)) + top)[row]
-    return out / np.log(10)
+class Scorer:
+    """log10 P(unit | the two units before it). A score is a sum of two parts, one for each place of the context, so the
+    sum over all units that normalises a context is the product of a row for the last unit and one for the one before:
+    one matrix product normalises every context there is."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.last = (p["r"] @ p["c1"]) @ p["t"].T + p["b"]
+        self.before = (p["r"] @ p["c2"]) @ p["t"].T
+        top, top2 = self.last.max(1), self.before.max(1)
+        z = np.exp(self.last - top[:, None]) @ np.exp(self.before - top2[:, None]).T
+        self.log_sum = np.log(np.maximum(z, 1e-30)) + top[:, None] + top2[None, :]
+        for i, j in np.argwhere(z < 1e-30).tolist():  # parts so far apart that products vanish
+            s = self.last[i].astype(float) + self.before[j]
+            self.log_sum[i, j] = s.max() + np.log(np.exp(s - s.max()).sum())
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        last, before = contexts(unit)
+        out = self.last[last, unit].astype(np.float64) + self.before[before, unit] - self.log_sum[last, before]
+        return out / np.log(10)
+
+
+@functools.lru_cache(1)
+def _scorer(key: str, held) -> Scorer:
+    """One for each worker process and model; key names the model."""
+    return Scorer(held.value[2])
+
+
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """word, c of the words that have at least some count, such that they are `most` at most; by count, then by word. How
+    many words each sixteenth of an octave of counts has tells which count: no task has to sort what the others found."""
+    words = counts.filter(F.col("word") != END)
+    step = F.floor(F.log2(F.col("c")) * 16)
+    least, n = None, 0
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.step):
+        if (n := n + r.n) > most:
+            break
+        least = r.step
+    found = words.filter(step >= least) if least is not None else words.limit(0)
+    return found.select("word", "c").toArrow().sort_by([("c", "descending"), ("word", "ascending")])
 
 
 def class_masses(counts: DataFrame, units: Units) -> np.ndarray:
@@ -317,7 +337,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = stored(word_counts(training), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counts.filter(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    head = counts.filter(F.col("word") != END).orderBy(F.desc("c"), "word").limit(HEAD).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    head = most_frequent(counts, HEAD)
     words, c = head["word"].combine_chunks().cast(pa.large_string()), head["c"].to_numpy()
     n_units = units_for(distinct)
     units = Units(words.slice(0, n_units - CLASSES - 1).to_pylist(), n_units)
@@ -328,11 +348,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     base_log = float(np.log10(total + 0.1 * (distinct + 1)))
     # In a broadcast of at most HEAD words: log10(c + 0.1).
     held = spark.sparkContext.broadcast((words, np.log10(c + 0.1), p))
+    key = uuid.uuid4().hex
     end_known, end_log = ends > 0, float(np.log10(ends + 0.1))
     tidy()
 
     def run(batches):
-        words, logs, p = held.value
+        words, logs, _ = held.value
+        scorer = _scorer(key, held)
         for b in batches:
             every = texts_of(b)
             for at in range(0, len(every), TEXTS):
@@ -340,7 +362,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 unit, names, word, bounds = units.sequence(texts)
                 n, sizes = len(texts), np.diff(bounds)
                 doc, of_all = np.repeat(np.arange(n), sizes), np.repeat(np.arange(n), sizes + 1)
-                model = np.bincount(of_all, log_probabilities(p, unit) - class_log[unit], n)
+                model = np.bincount(of_all, scorer.of(unit) - class_log[unit], n)
                 found = pc.fill_null(pc.index_in(names, words), -1).to_numpy()
                 known = found >= 0
                 lg = np.where(known, logs[found] if len(logs) else 0.0, 0.0)

@@ -433,6 +433,18 @@ def test_quality(spark, odd, empty):
     assert statistics(empty).count() == 0
 
 
+def test_most_frequent_words(spark):
+    from framewright.llm.bilinear import most_frequent
+
+    rows = [(f"w{i}", 1 + 2000 // (i + 1)) for i in range(300)] + [(" ", 10_000)]
+    counts = spark.createDataFrame(rows, "word string, c long")
+    assert most_frequent(counts, 1000).num_rows == 300
+    some = most_frequent(counts, 60).to_pylist()
+    order = sorted(rows[:300], key=lambda r: (-r[1], r[0]))
+    assert 40 <= len(some) <= 60 and [(r["word"], r["c"]) for r in some] == order[: len(some)]
+    assert most_frequent(counts, 0).num_rows == 0 and most_frequent(counts.limit(0), 5).num_rows == 0
+
+
 def test_language_model(spark, odd, empty, monkeypatch):
     import math
 
@@ -515,15 +527,17 @@ def test_log_bilinear_model():
     trainer = M.Trainer(p, 0)
     for _ in range(6):
         trainer.over(unit)
-    found = {name: M.log_probabilities(q, unit) for name, q in (("pairs", p), ("both", p | trainer.p))}
+    found = {name: M.Scorer(q).of(unit) for name, q in (("pairs", p), ("both", p | trainer.p))}
     assert found["both"].mean() > found["pairs"].mean() + 0.1
     # Normalised: over all units of a context, by brute force.
     q = p | trainer.p
     for a, b in ((0, 0), (3, 9), (39, 1)):
         s = (q["r"][a] @ q["c1"] + q["r"][b] @ q["c2"]) @ q["t"].T + q["b"]
         want = (s - np.log(np.exp(s.astype(float)).sum())) / np.log(10)
-        got = [M.log_probabilities(q, np.array([b, a, u]))[2] for u in range(40)] if a else [M.log_probabilities(q, np.array([u]))[0] for u in range(40)]
+        got = [M.Scorer(q).of(np.array([b, a, u]))[2] for u in range(40)] if a else [M.Scorer(q).of(np.array([u]))[0] for u in range(40)]
         assert np.allclose(got, want, atol=1e-4) and np.isclose((10.0 ** np.array(got)).sum(), 1, atol=1e-4)
+    wide = {k: v.astype(np.float32) * (40 if k in ("r", "t") else 1) for k, v in q.items()}  # scores far apart
+    assert np.isclose((10.0 ** np.array([M.Scorer(wide).of(np.array([3, 9, u]))[2] for u in range(40)])).sum(), 1, atol=1e-3)
     assert M.contexts(np.array([5, 6, 0, 7, 8]))[1].tolist() == [0, 0, 5, 0, 0] and M.units_for(10) == 512 and M.units_for(10**12) == M.MOST_UNITS
 
 
