@@ -26,8 +26,8 @@ from .common import fenced, n_words, running, stored
 BLOCK = 64
 #: Slots of an output shard.
 SHARD = 1024
-#: Documents in a bucket, over which word offsets are summed in one task; shards likewise.
-BUCKET, SHARDS = 20_000, 4096
+#: Documents of a source in a bucket, over which word offsets are summed in one task; shards likewise.
+BUCKET, SHARDS = 2000, 4096
 #: Parts of a source in the join of documents with sources; slots in one row of the table that draws look sources up in.
 SALT, CHUNK = 64, 4096
 WEIGHTS = (5, 2, 1)
@@ -139,11 +139,10 @@ def mixed(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), shard: int = SHA
     sized = sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("_n"))
     sized = stored(sized.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy")).drop("_n"), "mix-sizes")
     sources = stored(source_targets(sized), "mix-targets")
-    n_docs = sources.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     salt = F.pmod(F.xxhash64(*names, "_h", "_copy"), F.lit(SALT))
     per = sources.withColumnRenamed("source", "_source").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     placed = sized.withColumn("_salt2", salt).join(per, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt") == F.col("_salt2"))).drop("_source", "_salt", "_salt2")
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(*names, "_h", "_copy", F.lit(SEED)), F.lit(n_docs // BUCKET + 1)))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64(*names, "_h", "_copy", F.lit(SEED)), F.floor(F.col("n_docs") / BUCKET) + 1))
     by = Window.partitionBy("src", "bucket").orderBy(*names, "_h", "_copy")
     placed = placed.withColumns({"rn": F.row_number().over(by), "_end": F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))})
     placed = stored(placed.select(*[F.col(n).alias(c) for c, n in zip(keys, names, strict=True)], "size", "src", "source_size", "target", "bucket", "rn", "_end"), "mix-placed")
