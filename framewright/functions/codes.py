@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ints import TWO32, bit_width, unzigzag, zigzag
+from .ints import TWO32, bit_width, zigzag
 from .format import BLOCK, HEADER_BYTES, MAGIC, MOST_ZEROS, RICE_LIMIT, VERSION
 
 
@@ -85,27 +85,6 @@ def varint_payload(d: Column, use_zigzag: bool = False) -> Column:
     return F.array_join(F.transform(d, lambda x: varint_zigzag_hex(x) if use_zigzag else varint_hex(F.pmod(x.cast("long"), F.lit(TWO32)))), "")
 
 
-def read_varint(packet: Column, at: Column | int) -> Column:
-    """STRUCT(value, next, status) of the integer at byte `at`: -6 if the bytes end within it, -9 if it has over five."""
-    at = at if isinstance(at, Column) else F.lit(at)
-    byte = lambda k: hex_value(F.hex(F.substring(packet, at + k + 1, F.lit(1))))
-    more = lambda k: (F.length(packet) > at + k) & (byte(k) >= 128)
-    size, value = F.lit(1), F.lit(0).cast("long")
-    for k in range(4, -1, -1):
-        size = F.when(more(k), size + 1).otherwise(1)
-    for k in range(5):
-        value = value + F.when(size > k, F.shiftleft(byte(k) % 128, 7 * k)).otherwise(0)
-    status = F.when(packet.isNull(), F.lit(None).cast("int")).when((size > 5) & (F.length(packet) > at + 5), -9).when(F.length(packet) < at + size, -6).otherwise(0)
-    good = status == 0
-    return F.struct(F.when(good, value % TWO32).alias("value"), F.when(good, at + size).cast("int").alias("next"), status.cast("int").alias("status"))
-
-
-def read_zigzag(packet: Column, at: Column | int) -> Column:
-    """read_varint() with the value's zigzag undone."""
-    r = read_varint(packet, at)
-    return F.struct(unzigzag(r["value"]).alias("value"), r["next"].alias("next"), r["status"].alias("status"))
-
-
 # Rice codes
 
 

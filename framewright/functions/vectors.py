@@ -184,6 +184,36 @@ def blocks_of_width(d: Column, width: Column) -> Column:
     return _udf(run, "struct<block:binary,status:int>")(d, width)
 
 
+def _one_varint(data: bytes, at: int) -> tuple[int | None, int | None, int]:
+    value = 0
+    for k in range(5):
+        if at + k >= len(data):
+            return None, None, -6
+        value |= (data[at + k] & 127) << 7 * k
+        if data[at + k] < 128:
+            return value & 0xFFFFFFFF, at + k + 1, 0
+    return None, None, -9 if at + 5 < len(data) else -6
+
+
+def read_varint(packet: Column, at: Column | int, signed: bool = False) -> Column:
+    """STRUCT(value, next, status) of the integer at byte `at`: -6 if the bytes end within it, -9 if it has over five.
+    signed: with the value's zigzag undone."""
+
+    def run(a: pa.Array, offsets: pa.Array) -> pa.Array:
+        rows = [(None, None, None) if data is None or k is None else _one_varint(data, k) for data, k in zip(a.to_pylist(), offsets.to_pylist(), strict=True)]
+        value, after, status = zip(*rows, strict=True) if rows else ((), (), ())
+        if signed:
+            value = [v if v is None else v >> 1 ^ -(v & 1) for v in value]
+        return pa.StructArray.from_arrays([pa.array(value, pa.int64()), pa.array(after, pa.int32()), pa.array(status, pa.int32())], ["value", "next", "status"])
+
+    return _udf(run, "struct<value:bigint,next:int,status:int>")(packet, (at if isinstance(at, Column) else F.lit(at)).cast("int"))
+
+
+def read_zigzag(packet: Column, at: Column | int) -> Column:
+    """read_varint() with the value's zigzag undone."""
+    return read_varint(packet, at, signed=True)
+
+
 def bits_to_bytes(bits: Column) -> Column:
     """BINARY of a bit string, the last byte filled with zeros."""
 

@@ -11,7 +11,7 @@ from ..functions import codes as C
 from ..functions.format import BLOCK, MOST_SAMPLES, RICE
 from ..functions.ints import bit_width, deltas, deltas_paired, from_q15, pack_pair, sum_abs, sum_abs_saturating, to_q15, unpack_pair, unzigzag, zigzag
 from ..functions.status import ERRORS, error_message, error_name, error_table
-from ..functions.vectors import bits_to_bytes, blocks_of_width, prefix_sums
+from ..functions.vectors import bits_to_bytes, blocks_of_width, prefix_sums, read_zigzag
 from ..operators import codecs
 from ..operators.frames import bin_counts, delta_long, dense_frames, frames, spikes, to_long, undelta_long
 from ..sources.packets import byte_at, remaining, take_bytes, within_budget
@@ -148,8 +148,8 @@ def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _zigzag_varints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _frames(spark, sf_dir, "lines").withColumn("payload", C.varint_payload(deltas(F.col("samples")), use_zigzag=True))
-    first = C.read_zigzag(F.unhex("payload"), 0)
-    return d.select("frame_id", "payload", first["value"].alias("first"), first["next"].alias("next"), first["status"].alias("status"))
+    first = read_zigzag(F.unhex("payload"), 0)
+    return d.select("frame_id", "payload", first["value"].cast("int").alias("first"), first["next"].alias("next"), first["status"].alias("status"))
 
 
 def _bit_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
