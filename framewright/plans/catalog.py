@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codes as C
 from ..functions.format import BLOCK, MOST_SAMPLES, RICE
 from ..functions.ints import bit_width, deltas, deltas_paired, from_q15, pack_pair, sum_abs, sum_abs_saturating, to_q15, unpack_pair, unzigzag, zigzag
-from ..functions.status import ERRORS, error_message, error_name, error_table
+from ..functions.status import ERRORS, error_code, error_message, error_name, error_table
 from ..functions.vectors import bits_to_bytes, blocks_of_width, prefix_sums, read_zigzag
 from ..operators import codecs
 from ..operators.frames import bin_counts, delta_long, dense_frames, frames, spikes, to_long, undelta_long
@@ -216,7 +216,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spike_bins": lambda s, d: bin_counts(spikes(_hours(s, d), THRESHOLD), "1 hour").select(F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss").alias("bin_start"), "channel", "n"),
         "dense_spike_frames": _dense,
         "error_codes": lambda s, d: error_table(s),
-        "error_messages": lambda s, d: error_table(s).select("code", error_message(F.col("code"), k=F.lit(7), required=F.lit(16)).alias("text")),
+        "error_messages": lambda s, d: error_table(s).select("code", error_message(F.col("code"), k=F.lit(7), required=F.lit(16)).alias("text"), error_code(error_name(F.col("code"))).alias("again")),
         "strategy_mismatch": _mismatched,
         "rice_retry_k3": lambda s, d: _sized(codecs.encode(f(s, d, "events4"), "rice", on_overflow="retry_k3")),
         "rice_drop": lambda s, d: _sized(codecs.encode(f(s, d, "events4"), "rice", on_overflow="drop")),
@@ -302,7 +302,7 @@ def _more_sql(e: str, v: str, ln: str, o: str, e4: str, long_: str, at: Callable
     zig = VARINT.replace("list_transform(u, lambda", "list_transform(z, lambda")
     value, k = f"{at('s')} * 9", "(i % 5)"
     return {
-        "error_messages": "SELECT CAST(-i AS INT) AS code, ([" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "])[i] AS text FROM range(1, 11) AS r(i)",
+        "error_messages": "SELECT CAST(-i AS INT) AS code, ([" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "])[i] AS text, CAST(-i AS INT) AS again FROM range(1, 11) AS r(i)",
         "strategy_mismatch": f"WITH {e} SELECT frame_id, CASE WHEN frame_id % 2 = 0 THEN CAST(len(s) AS INT) END AS n, CASE WHEN frame_id % 2 = 0 THEN 0 ELSE -5 END AS status FROM f",
         "rice_retry_k3": f"WITH {e4}, {D}, {Z}, {k2} SELECT frame_id, CASE WHEN {over2} THEN -10 ELSE 0 END AS status, CASE WHEN NOT ({over2}) THEN {rice_bytes.format(k='k2')} END AS bytes FROM y",
         "rice_drop": f"WITH {e4}, {D}, {Z} SELECT frame_id, 0 AS status, {rice_bytes.format(k='k')} AS bytes FROM z WHERE NOT ({OVER})",
