@@ -2,9 +2,9 @@
 
 A tokenizer of these two kinds never joins characters across a single space between words, so a text is the sum of its
 space-separated chunks. Arrow splits a batch of texts and numbers its distinct chunks, the tokenizers library encodes
-each of those once, and numpy puts the ids of all chunks in their places; nothing is kept from batch to batch. Texts
-with other runs of white space go through the library whole. A word of Latin letters is one pretoken of either
-tokenizer, so such words go to the tokenizer's own model, many in one call, without the search for pretokens.
+each of those once, and numpy puts the ids of all chunks in their places. Texts with other runs of white space go
+through the library whole. A word of Latin letters is one pretoken of either tokenizer, so such words go to the
+tokenizer's own model, many in one call, without the search for pretokens; a worker remembers some of them, as arrays.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 
 #: Texts that are encoded together, and the most bytes of them (a longer text comes alone). Bounds memory.
 ROWS, BYTES = 20_000, 1 << 24
-#: Words that are encoded by one call of the library.
-JOINED = 16_384
+#: Words that are encoded by one call of the library, and that a worker remembers, in some 30 bytes each, before it
+#: starts afresh with those of a batch; neither has an effect on results.
+JOINED, MOST_WORDS = 16_384, 600_000
 #: What stands before the first chunk of a text, before that of a later line, and for the end of a text. No other
 #: chunk holds a line's end but at its start.
 FIRST, LINE, LAST = "\n\n", "\n", "\n\n\n"
@@ -68,13 +69,14 @@ class ChunkEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[k for t, k in vocabulary.items() if (t[0] == self.space if keeps_space else t.endswith("</w>"))]] = True
+        self.known = {led: (pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, np.uint32)) for led in (False, True)}
         self.marks = {m: int(self._whole([m])[0][0]) for m in ".,"}
         self.line = int(self._whole(["\n"])[0][0]) if keeps_space else None
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: pa.Array, led: bool) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, words: pa.Array, led: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their number by word) of words of letters, by the tokenizer's model alone. led: a space goes before each."""
         ids, sizes = [], []
         lead = self.space if led else ""
@@ -97,6 +99,22 @@ class ChunkEncoder:
                 raise ValueError("words of letters do not keep apart in this tokenizer")
         return np.concatenate([np.empty(0, np.uint32), *ids]), np.concatenate([np.empty(0, np.int64), *sizes]).astype(np.int64)
 
+    def _words(self, words: pa.Array, led: bool) -> tuple[np.ndarray, np.ndarray]:
+        """_encoded() of distinct words, those of earlier batches from memory."""
+        seen, sizes, ids = self.known[led]
+        found = pc.index_in(words, seen)
+        missing = np.asarray(found.is_null())
+        new = words.filter(pa.array(missing))
+        new_ids, new_sizes = self._encoded(new, led)
+        sizes, ids = np.concatenate([sizes, new_sizes]), np.concatenate([ids, new_ids])
+        at = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        at[missing] = len(seen) + np.arange(len(new))
+        n = sizes[at]
+        own = ids[_ragged((np.cumsum(sizes) - sizes)[at], n)]
+        total = len(seen) + len(new)
+        self.known[led] = (pa.concat_arrays([seen, new]), sizes, ids) if total <= MOST_WORDS else (words, n, own)
+        return own, n
+
     def _chunks(self, chunks: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their number by chunk) of distinct chunks; the number is -1 for one that makes its text irregular."""
         found = pc.extract_regex(chunks, PLAIN)
