@@ -7,7 +7,7 @@ import os
 from pyspark.sql import SparkSession
 
 #: Rows of a batch that Spark hands to Python.
-ARROW_ROWS = 4000
+ARROW_ROWS = 2000
 
 
 def workers_find_package(spark: SparkSession) -> None:
