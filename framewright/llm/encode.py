@@ -17,10 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts that are encoded together, and the most bytes of them (a longer text comes alone). Bounds memory.
-ROWS, BYTES = 20_000, 1 << 24
+ROWS, BYTES = 20_000, 1 << 22
 #: Words that are encoded by one call of the library, and that a worker remembers, in some 30 bytes each, before it
 #: starts afresh with those of a batch; neither has an effect on results.
-JOINED, MOST_WORDS = 16_384, 600_000
+JOINED, MOST_WORDS = 16_384, 300_000
 #: What stands before the first chunk of a text, before that of a later line, and for the end of a text. No other
 #: chunk holds a line's end but at its start.
 FIRST, LINE, LAST = "\n\n", "\n", "\n\n\n"
