@@ -3,6 +3,8 @@ gives null."""
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,6 +45,11 @@ def _ints(x: np.ndarray, ok: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int32), mask=~ok)
 
 
+def _varints(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of the deltas of frames."""
+    return K.varint_encode(K.deltas(values, at).astype(np.int64) & 0xFFFFFFFF, at)
+
+
 def _packets(values: np.ndarray, at: np.ndarray, sid: int, strict: bool, retry: bool, k: int | None) -> tuple[list[bytes | None], np.ndarray]:
     """(packets, status) of frames."""
     status = np.where(np.diff(at) > MOST_SAMPLES, -2, 0)
@@ -50,13 +57,13 @@ def _packets(values: np.ndarray, at: np.ndarray, sid: int, strict: bool, retry:
         status[status == 0] = -8
     good = status == 0
     x, own = _some(values, at, good)
-    d = K.deltas(x, own)
     low = np.zeros(len(own) - 1, np.int64)
     if sid == DELTA_VARINT:
-        data, ends = K.varint_encode(d.astype(np.int64) & 0xFFFFFFFF, own)
+        data, ends = _varints(x, own)
     elif sid == PACKED4:
-        data, ends = K.packed4_encode(d, own)
+        data, ends = K.packed4_encode(K.deltas(x, own), own)
     else:
+        d = K.deltas(x, own)
         z, failed = K.zigzag(d), np.zeros(len(low), np.int64)
         if sid == RICE:
             low = K.rice_k(d, own) if k is None else low + k
@@ -96,6 +103,22 @@ def encoded(samples: Column, strategy: str, strict: bool = True, retry: bool = F
     return _udf(run, "struct<packet:binary,status:int>")(samples)
 
 
+def varint_payload(samples: Column) -> Column:
+    """BINARY of an array of any number of samples: what follows the header in a packet of delta_varint. A header counts
+    65535 samples at most, the integers after it have no such limit."""
+
+    def run(a: pa.Array) -> pa.Array:
+        values, at, ok = _frames(a)
+        out = []
+        for i, j in K._lots(np.diff(at), MOST_AT_ONCE):
+            data, ends = _varints(values[at[i] : at[j]], at[i : j + 1] - at[i])
+            raw = data.tobytes()
+            out += [raw[b:e] for b, e in pairwise(ends.tolist())]
+        return pa.array([p if good else None for p, good in zip(out, ok.tolist(), strict=True)], pa.binary())
+
+    return _udf(run, "binary")(samples)
+
+
 def _status_of_header(p: bytes, asked: int | None) -> int:
     if len(p) < HEADER_BYTES:
         return -6

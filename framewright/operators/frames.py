@@ -46,7 +46,8 @@ def bin_counts(df: DataFrame, bin_: str, ts: str = "ts", channel: str = "channel
 def dense_frames(counts: DataFrame, bins: DataFrame, channels: DataFrame) -> DataFrame:
     """bin_start, samples: a frame for every row of bins (bin_start), with a count for every row of channels (channel)
     in ascending order, 0 where counts has none. Counts are folded into a map for each bin, so what is shuffled is
-    counts, not bins times channels; the list of channels, at most 65535 of them, goes along with each bin."""
+    counts, not bins times channels; the list of channels goes along with each bin. There may be any number of channels;
+    a packet holds 65535 of them."""
     listed = channels.agg(F.sort_array(F.collect_set("channel")).alias("_all"))
     folded = counts.groupBy("bin_start").agg(F.sort_array(F.collect_list(F.struct("channel", "n"))).alias("_seen"))
     joined = bins.select("bin_start").distinct().join(folded, "bin_start", "left").join(F.broadcast(listed))  # listed is one row

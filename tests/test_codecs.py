@@ -110,6 +110,15 @@ def test_length_limit_budget_and_nulls(spark):
     assert decoded(spark, [None]) == [(None, None)]
 
 
+def test_payload_is_what_follows_the_header(spark):
+    frames = [G1, [], None, [1, None], [7, -1] * 40000, [-(2**31), 2**31 - 1, 0], [5] * 65535]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(frames)], "i int, samples array<int>")
+    got = codecs.encode(df, "delta_varint").select("i", "packet", V.varint_payload(F.col("samples")).alias("p")).orderBy("i").collect()
+    assert [None if r.p is None else bytes(r.p) for r in got if r.i != 4] == [None if r.packet is None else bytes(r.packet)[8:] for r in got if r.i != 4]
+    wide = got[4]  # 7, then 40000 times -8 and 39999 times +8
+    assert wide.packet is None and bytes(wide.p) == b"\x07" + b"\xf8\xff\xff\xff\x0f\x08" * 39999 + b"\xf8\xff\xff\xff\x0f"
+
+
 def test_header_rejects_in_order(spark):
     good = "5048444301000a0542626218206020"
     bad = [good[:14], "ff" + good[2:], good[:8] + "ff" + good[10:], good[:14] + "ff" + good[16:], "ff" * 8]

@@ -34,6 +34,18 @@ def test_query_equals_sql(spark, duck, name):
     assert got and got == want
 
 
+@pytest.mark.parametrize("channels", [65535, 65536, 70000])
+def test_dense_frames_of_many_channels_equal_sql(spark, tmp_path, channels):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_minutes(CAST(i % 150 AS INT)) AS ts, i % {channels} AS user_id, CAST(i * 37 % 101 AS DOUBLE) AS value FROM range(90000) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    df = catalog.queries()["dense_spike_frames"](spark, str(tmp_path))
+    got = sorted(tuple(r) for r in df.select("bin_start", "samples", "bytes").collect())
+    want = sorted(con.execute(f"SELECT bin_start, samples, bytes FROM ({catalog.oracle_sql()['dense_spike_frames']})").fetchall())
+    assert [(b, n, len(s)) for b, s, n in got] == [(b, n, len(s)) for b, s, n in want]
+    assert len(got) == 3 and got == want
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
